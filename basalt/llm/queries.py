@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .fingerprint import op4_fingerprint
+from .webp import op6_webp
 
 QUERIES = {
     "op4_fingerprint": op4_fingerprint,
+    "op6_webp": op6_webp,
+    "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
