@@ -16,6 +16,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,13 +69,13 @@ class Code:
     """A prefix code to read by: a table of 2^bits entries of length << 16 | symbol."""
 
     def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
+        used = np.flatnonzero(lengths).tolist()
         if not used:
             raise BadImage("a prefix code without symbols")
         if len(used) == 1:
-            self.bits, self.table, self.only = 0, np.array([used[0]], np.uint32), used[0]
+            self.bits, self.table, self.only = 0, None, used[0]
             return
-        n = np.array([lengths[s] for s in used])
+        n = np.array(lengths)[used]
         self.only, self.bits = None, int(n.max())
         if (np.left_shift(1, self.bits - n)).sum() != 1 << self.bits:
             raise BadImage("a prefix code that is not complete")
@@ -84,6 +85,21 @@ class Code:
         flat = np.repeat(entry, np.left_shift(1, self.bits - n[order]))
         self.table = flat[_reversed(self.bits)]
 
+    @cached_property
+    def entries(self) -> list[int]:
+        return [self.only] if self.only is not None else self.table.tolist()
+
+
+@lru_cache(4096)
+def small_code(lengths: tuple[int, ...]) -> Code:
+    """Codes that come again and again: those for code lengths, and those of one or two symbols."""
+    return Code([*lengths])
+
+
+@lru_cache(1024)
+def single(symbol: int) -> Code:
+    return small_code((0,) * symbol + (1,))
+
 
 def _reversed(bits: int) -> np.ndarray:
     while len(REVERSED) <= bits:
@@ -136,8 +152,7 @@ class Bits:
     """Reads a stream from its lowest bit on."""
 
     def __init__(self, data: bytes, at: int = 0):
-        self.n, self.at, self.size = int.from_bytes(data, "little"), at, 8 * len(data)
-        self.data = data
+        self.data, self.at, self.size = data, at, 8 * len(data)
 
     def read(self, k: int) -> int:
         a = self.at
@@ -177,21 +192,24 @@ def read_code(bits: Bits, size: int) -> Code:
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
-        lengths = [0] * max(size, 256)
-        lengths[first] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Code(lengths)
+        if not two:
+            return single(first)
+        second = bits.read(8)
+        return single(first) if first == second else small_code(tuple(int(i in (first, second)) for i in range(256)))
     own = [0] * 19
     for i in range(4 + bits.read(4)):
         own[CODE_LENGTH_ORDER[i]] = bits.read(3)
-    code = Code(own)
+    code = small_code(tuple(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     lengths: list[int] = []
     last = 8
+    data, table, mask = bits.data, code.entries, (1 << code.bits) - 1
     while len(lengths) < size and left:
         left -= 1
-        s = bits.symbol(code)
+        at = bits.at
+        e = table[(int.from_bytes(data[at >> 3 : (at >> 3) + 2], "little") >> (at & 7)) & mask]
+        bits.at = at + (e >> 16)
+        s = e & 0xFFFF
         if s < 16:
             lengths.append(s)
             last = s or last
@@ -201,8 +219,8 @@ def read_code(bits: Bits, size: int) -> Code:
             lengths += [0] * (3 + bits.read(3))
         else:
             lengths += [0] * (11 + bits.read(7))
-    if len(lengths) > size:
-        raise BadImage("too many code lengths")
+    if len(lengths) > size or bits.at > bits.size:
+        raise BadImage("too many code lengths, or too few bits")
     return Code(lengths + [0] * (size - len(lengths)))
 
 
@@ -416,7 +434,7 @@ def decode_greys(streams: list[bytes]) -> list[np.ndarray]:
         bits, h = start(s)
         codes = h.codes[0]
         plain = not h.cache and not h.meta and all(t[0] == 2 for t in h.transforms) and all(c.only is not None for c in codes[1:4])
-        if plain and codes[0].bits <= LONGEST and int((codes[0].table & 0xFFFF).max()) < 256:
+        if plain and codes[0].only is None and codes[0].bits <= LONGEST and int((codes[0].table & 0xFFFF).max()) < 256:
             lanes.append((h.width * h.height, i, bits.at, codes[0]))
         else:
             out[i] = _channels(undo(h, pixels(bits, h)))[:, 1]
