@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .fingerprint import op4_fingerprint
+from .mixing import ORACLE as MIXING_SQL
+from .mixing import op5_mixing
 from .warc import ORACLE as WARC_SQL
 from .warc import op8_warc
 from .webp import op6_webp
 
 QUERIES = {
     "op4_fingerprint": op4_fingerprint,
+    "op5_mixing": op5_mixing,
     "op6_webp": op6_webp,
     "op8_warc": op8_warc,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op5_mixing": MIXING_SQL,
     "op8_warc": WARC_SQL,
 }
