@@ -6,6 +6,8 @@ from .bpe import op10_bpe
 from .fingerprint import op4_fingerprint
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op5_mixing
+from .quality import op9_quality
+from .toxicity import op7_toxicity
 from .warc import ORACLE as WARC_SQL
 from .warc import op8_warc
 from .webp import op6_webp
@@ -14,7 +16,9 @@ QUERIES = {
     "op4_fingerprint": op4_fingerprint,
     "op5_mixing": op5_mixing,
     "op6_webp": op6_webp,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
