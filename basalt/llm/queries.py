@@ -6,6 +6,7 @@ from .bpe import op10_bpe
 from .fingerprint import op4_fingerprint
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op5_mixing
+from .neardup import op3_minhash
 from .quality import op9_quality
 from .toxicity import op7_toxicity
 from .warc import ORACLE as WARC_SQL
@@ -13,6 +14,7 @@ from .warc import op8_warc
 from .webp import op6_webp
 
 QUERIES = {
+    "op3_minhash": op3_minhash,
     "op4_fingerprint": op4_fingerprint,
     "op5_mixing": op5_mixing,
     "op6_webp": op6_webp,
