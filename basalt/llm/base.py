@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of tables that are written by now; else they wait for the driver's own
+        garbage collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             if path := getattr(df, "_scratch_path", None):

@@ -8,12 +8,14 @@ from .mixing import ORACLE as MIXING_SQL
 from .mixing import op5_mixing
 from .neardup import op3_minhash
 from .quality import op9_quality
+from .substring import op2_substring
 from .toxicity import op7_toxicity
 from .warc import ORACLE as WARC_SQL
 from .warc import op8_warc
 from .webp import op6_webp
 
 QUERIES = {
+    "op2_substring": op2_substring,
     "op3_minhash": op3_minhash,
     "op4_fingerprint": op4_fingerprint,
     "op5_mixing": op5_mixing,
