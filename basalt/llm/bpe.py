@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import table
+from .base import sub_batches, table
 
 #: Words whose tokens a worker remembers; only speed depends on it.
 REMEMBERED = 200_000
@@ -202,41 +202,42 @@ def _bpe(text: str) -> WordBPE:
     return _loaded[key]
 
 
+def told(bpe: WordBPE, ids: bytes) -> str:
+    """SHA-256 of what ids decode to, a piece at a time."""
+    d, h, all_ = Decoder(bpe), hashlib.sha256(), np.frombuffer(ids, "<u4")
+    for i in range(0, len(all_), PIECE):
+        h.update(d.feed(all_[i : i + PIECE]).encode())
+    h.update(d.end().encode())
+    return h.hexdigest()
+
+
 def encode(df: DataFrame, tokenizer_path: str, column: str = "text", to: str = "ids", digest: bool = False) -> DataFrame:
-    """Adds the ids of a text column, binary of little-endian unsigned 32-bit integers; with digest also what the
-    ids decode to: n_tokens, ids_sha256, decoded_sha256 (and no ids). The tokenizer file, a few MB, is broadcast."""
-    spark = df.sparkSession
+    """Replaces a text column by its ids, binary of little-endian unsigned 32-bit integers; with digest by n_tokens,
+    ids_sha256 and decoded_sha256, the ids decoded again. Other columns of these names are replaced too. The tokenizer file, a
+    few MB, is broadcast."""
+    made = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} if digest else {to: "binary"}
+    df = df.drop(*(c for c in made if c != column))
     with open(tokenizer_path, encoding="utf-8") as f:
-        held = spark.sparkContext.broadcast(f.read())
-    keep = [c for c in df.columns if not digest or c != column]
+        held = df.sparkSession.sparkContext.broadcast(f.read())
+    keep = [c for c in df.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(held.value)
         for batch in batches:
-            step = 256
-            for k in range(0, batch.num_rows, step):
-                part = batch.slice(k, step)
+            for part in sub_batches(batch, column):
                 found = [bpe.encode(t or "") for t in part.column(column).to_pylist()]
-                cols = [part.column(c) for c in keep]
                 if digest:
-                    told = []
-                    for x in found:
-                        d, h, ids = Decoder(bpe), hashlib.sha256(), np.frombuffer(x, "<u4")
-                        for i in range(0, len(ids), PIECE):
-                            h.update(d.feed(ids[i : i + PIECE]).encode())
-                        h.update(d.end().encode())
-                        told.append(h.hexdigest())
-                    cols += [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found]), pa.array(told, pa.string())]
-                    yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+                    new = [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()), pa.array([told(bpe, x) for x in found], pa.string())]
                 else:
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.binary())], names=[*keep, to])
+                    new = [pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], names=[*keep, *made])
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInArrow(run, schema + (", n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else f", `{to}` binary"))
+    return df.mapInArrow(run, ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` {t}" for c, t in made.items()]))
 
 
 def decode(df: DataFrame, tokenizer_path: str, column: str = "ids", to: str = "decoded", joined: bool = True) -> DataFrame:
-    """Adds the text of a column of ids; null ids are none."""
+    """Adds the text of a column of ids, in place of a column of that name; null ids are none."""
+    df = df.drop(to)
     with open(tokenizer_path, encoding="utf-8") as f:
         held = df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -28,12 +28,12 @@ COLUMNS = 4096
 MOST_BROADCAST = 1_000_000
 
 
-def pick(df: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
-    """Rows of df whose id is among ids (one column, no repetition)."""
+def pick(df: DataFrame, ids: DataFrame, on: str = "id", how: str = "left_semi") -> DataFrame:
+    """Rows of df whose id is among ids (one column, no repetition), or is not."""
     ids = ids.select(F.col(ids.columns[0]).alias("__id"))
     if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
-    return df.join(ids, df[on] == F.col("__id"), "left_semi")
+    return df.join(ids, df[on] == F.col("__id"), how)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -91,7 +91,7 @@ def links(sets: list[np.ndarray], root: list[int], percent: int) -> list[tuple[i
 
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links in buckets of several components."""
-    m = members.where("n > 2").select("key", "id").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    m = members.select("key", "id").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     m = scratch.keep(m, "large")
     mixed = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     # Buckets of equal members are looked at once.
@@ -121,11 +121,18 @@ def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     b = nodes.select("id", F.explode("keys").alias("key"))
     shared = b.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1")
     members = scratch.keep(b.join(shared, "key"), "members")
+    out = link_members(members, members.where("n > 2"), sets_of, percent, scratch)
+    scratch.drop(members)
+    return out
+
+
+def link_members(members: DataFrame, large: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    """The same from members (key, id, pivot) of buckets; large has key, id of those of three members or more, once each."""
     pairs = members.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
     sets = scratch.keep(sets_of(members.select("id").distinct()), "sets")
     first = scratch.keep(verified(pairs, sets, percent), "first")
     labels = components(first, scratch)
-    second = scratch.keep(_rest(members, labels, sets, percent, scratch), "second")
+    second = scratch.keep(_rest(large, labels, sets, percent, scratch), "second")
     out = components(first.union(second), scratch)
-    scratch.drop(members, sets)
+    scratch.drop(sets)
     return out

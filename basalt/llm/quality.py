@@ -168,7 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> Bags:
 
 
 def score(docs: DataFrame, model: Bags, column: str = "text") -> DataFrame:
-    """Adds quality_score and quality_passage (the byte at which the passage of greatest weight begins)."""
+    """Adds quality_score and quality_passage (the byte at which the passage of greatest weight begins); they replace columns
+    of these names."""
+    docs = docs.drop("quality_score", "quality_passage")
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few KB, whatever the input
     names = docs.columns
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .fingerprint import op4_fingerprint
+from .lines import op1_lines
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op5_mixing
 from .neardup import op3_minhash
@@ -15,6 +16,7 @@ from .warc import op8_warc
 from .webp import op6_webp
 
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_substring": op2_substring,
     "op3_minhash": op3_minhash,
     "op4_fingerprint": op4_fingerprint,

@@ -193,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> Field:
 
 
 def score(docs: DataFrame, field: Field, column: str = "text") -> DataFrame:
-    """Adds toxic_score and toxic_spans (array of byte offsets: start, end, start, end ...) to documents."""
+    """Adds toxic_score and toxic_spans (array of byte offsets: start, end, start, end ...) to documents; they replace columns
+    of these names."""
+    docs = docs.drop("toxic_score", "toxic_spans")
     held = docs.sparkSession.sparkContext.broadcast(field)  # about 1 MB, whatever the input
     names = docs.columns
 

@@ -622,7 +622,8 @@ def _schema(df: DataFrame, more: str, drop: tuple[str, ...] = ()) -> str:
 
 
 def to_media(df: DataFrame, column: str = "text", to: str = "media") -> DataFrame:
-    """Adds the stored form of a text column."""
+    """Adds the stored form of a text column, in place of a column of that name."""
+    df = df.drop(to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -634,7 +635,8 @@ def to_media(df: DataFrame, column: str = "text", to: str = "media") -> DataFram
 
 
 def from_media(df: DataFrame, column: str = "media", to: str = "pixels") -> DataFrame:
-    """Adds the samples of a column of stored forms."""
+    """Adds the samples of a column of stored forms, in place of a column of that name."""
+    df = df.drop(to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
