@@ -6,7 +6,8 @@ is emitted; the transducer holds at most `Merges.window` symbols of a word, what
 a state machine too: `Decoder` takes ids in pieces and holds back only an unfinished UTF-8 sequence.
 
 Defined results: null and empty texts give no ids and the empty text; equal texts give equal ids; strings of
-special tokens in a text become their ids, as the tokenizers library does by default.
+special tokens in a text become their ids, as the tokenizers library does by default. Code points that no Unicode version up to
+16 assigns may count as letters here and not there, or the other way round.
 """
 
 from __future__ import annotations

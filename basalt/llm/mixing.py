@@ -99,7 +99,7 @@ r5 AS (SELECT source, CASE WHEN chars > 0 THEN weight / w * c / CAST(chars AS DO
 d5 AS (SELECT *, greatest(1, CAST(ceil(rate / {CHUNK}) AS INT)) AS draws FROM r5),
 k5 AS (SELECT source, k, rate, draws, sum(CASE WHEN rate = 0 THEN CASE WHEN k = 0 THEN 1 ELSE 0 END ELSE exp(-rate / draws + k * ln(rate / draws) - lgamma(k + 1)) END) OVER (PARTITION BY source ORDER BY k) AS cdf
   FROM d5, range(0, {TERMS}) t(k)),
-u5 AS (SELECT doc_id, d.source, rate, j, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '-{seed}-' || j), 1, 12) AS BIGINT) / {float(1 << 48)!r} AS u
+u5 AS (SELECT doc_id, d.source, d5.rate, j, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '-{seed}-' || j), 1, 12) AS BIGINT) / {float(1 << 48)!r} AS u
   FROM {docs} d JOIN d5 ON d.source IS NOT DISTINCT FROM d5.source, LATERAL (SELECT unnest(range(1, draws + 1)) AS j)),
 n5 AS (SELECT u5.doc_id, u5.source, u5.rate, count(*) FILTER (WHERE k5.cdf <= u5.u) AS n FROM u5 JOIN k5 ON u5.source IS NOT DISTINCT FROM k5.source GROUP BY ALL),
 mixed AS (SELECT doc_id, source, rate, unnest(range(1, n + 1)) AS copy FROM n5)"""

@@ -69,7 +69,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, ban
     nodes = real.join(classes, ["h1", "h2"]).where("doc_id = rep").groupBy("rep", "h1", "h2").agg(F.first("keys").alias("keys")).select(F.col("rep").alias("id"), "keys")
     roots = link(nodes, sets_of(docs, words), percent, scratch)
     out = all_.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
-    out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
+    out = out.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")))
     found = classes.select(F.col("rep").alias("id")).distinct().join(roots, "id")
     out = out.join(found, F.col("rep") == F.col("id"), "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

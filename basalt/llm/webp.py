@@ -532,6 +532,8 @@ def head(width: int, height: int, lengths: list[int]) -> tuple[int, int]:
 def encode_greys(payloads: list[np.ndarray], width: int = UNIT) -> list[bytes]:
     """RIFF files of grey images, each a payload whose size is a multiple of width."""
     n = len(payloads)
+    if not n:
+        return []
     sizes = np.array([len(p) for p in payloads])
     codes, bits, heads = np.zeros((n, 256), np.uint64), np.zeros((n, 256), np.int64), []
     for i, p in enumerate(payloads):
@@ -546,10 +548,10 @@ def encode_greys(payloads: list[np.ndarray], width: int = UNIT) -> list[bytes]:
             code = np.concatenate(([0], np.cumsum(np.left_shift(1, most - kk))[:-1])) >> (most - kk)
             codes[i, order] = [_reversed(b)[c] for b, c in zip(kk.tolist(), code.tolist())]
             bits[i, order] = kk
-    flat = np.concatenate(payloads) if n else np.zeros(0, np.uint8)
+    flat = np.concatenate(payloads)
     index = np.repeat(np.arange(n) << 8, sizes) + flat
     k = bits.ravel()[index]
-    total = np.add.reduceat(k, np.cumsum(sizes) - sizes) if n else k
+    total = np.add.reduceat(k, np.cumsum(sizes) - sizes)
     lengths = -(-(np.array([h[1] for h in heads]) + total) // 64) + 1  # in words
     begin = np.cumsum(lengths) - lengths
     pos = np.cumsum(k) - k
