@@ -21,9 +21,6 @@ STATUS = _struct(("confirmed", B), ("block_height", L), ("block_hash", S))
 RAW_TX = _struct(
     ("txid", S), ("version", L), ("locktime", L), ("size", L), ("weight", L), ("fee", L), ("vin", T.ArrayType(VIN)), ("vout", T.ArrayType(VOUT)), ("status", STATUS),
 )
-META = _struct(
-    ("block_height", L), ("block_hash", S), ("api_base_url", S), ("tx_count_fetched", L), ("tx_count_reported", L), ("pages_fetched", L), ("fetched_at", S),
-)
 
 BLOCKS = _struct(
     ("block_height", L), ("block_hash", S), ("previous_block_hash", S), ("timestamp", L), ("transaction_count", L), ("size_bytes", L), ("weight_units", L), ("difficulty", D),
