@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .automaton import SuffixAutomaton, covered
 from .base import Scratch, table, text_slices
 from .linking import pick
-from .words import range_hashes, words
+from .words import mix, range_hashes, words
 
 WINDOW, ANCHOR = 35, 10
 SHARD_WORDS = 1 << 14
@@ -140,20 +140,83 @@ def _shards(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.select("a", "f", "n", "words").repartition("a").sortWithinPartitions("a", "f").mapInArrow(run, "a bigint, f bigint, o bigint, l bigint")
 
 
-def _by_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The same for anchors too heavy for one task: each window by itself, counted before the shuffle."""
+def _pieces(kind: int, to: np.ndarray, buckets: int, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Columns of 64-bit numbers dealt into buckets: kind, bucket, bytes."""
+    order = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(buckets + 1))
+    table = np.stack([c.view(np.int64)[order] for c in columns])
+    return [(kind, q, table[:, i:j].tobytes()) for q, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if i < j]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, f, n, w in zip(*(batch.column(c).to_pylist() for c in ("a", "f", "n", "words"))):
-                h = np.frombuffer(w, np.uint64)
-                o = np.arange(len(h) - window + 1)
-                v = range_hashes(h, o, o + window, WINDOW_BASE).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), x), pa.int64()) for x in (a, f, n)] + [pa.array(o), pa.array(v)], names=["a", "f", "n", "o", "w"])
 
-    each = rows.select("a", "f", "n", "words").mapInArrow(run, "a bigint, f bigint, n bigint, o bigint, w bigint")
-    often = each.groupBy("a", "w").agg(F.sum("n").alias("total")).where("total > 1").select("a", "w")
-    return each.where("n = 1").join(often, ["a", "w"]).select("a", "f", "o", F.lit(window).cast("bigint").alias("l"))
+def _piece_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kind, bucket, data = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=["kind", "bucket", "data"])
+
+
+def _each_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np.ndarray]:
+    """A bucket's pieces together, from rows in the order of buckets."""
+    last, held = None, []
+    for batch in batches:
+        for q, d in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
+            if q != last and held:
+                yield np.concatenate(held, axis=1)
+                held = []
+            last = q
+            held.append(np.frombuffer(d, np.int64).reshape(columns, -1))
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
+def _by_windows(rows: DataFrame, scratch: Scratch, buckets: int, window: int = WINDOW) -> DataFrame:
+    """The same for anchors too heavy for one task: windows are dealt out each by itself, in packed pieces.
+
+    What windows of a batch are equal is found in the batch, and one of them goes on for all: a window that very many
+    fragments have takes no more room in a task than there are batches."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, f, n = (batch.column(c).to_numpy() for c in ("a", "f", "n"))
+            held = [np.frombuffer(w, np.uint64) for w in batch.column("words").to_pylist()]
+            count = np.array([len(h) - window + 1 for h in held])
+            at = np.cumsum([0, *map(len, held)])[:-1]
+            g = np.repeat(np.arange(len(held)), count)
+            o = np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
+            i = at[g] + o
+            key = mix(range_hashes(np.concatenate(held), i, i + window, WINDOW_BASE) ^ a.view(np.uint64)[g])
+            order = np.argsort(key, kind="stable")
+            key, g, o = key[order], g[order], o[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            total = np.add.reduceat(n[g], first)
+            hit = (np.repeat(total, np.diff(np.concatenate((first, [len(key)])))) > 1) & (n[g] == 1)
+            out = _pieces(0, f[g[hit]] % buckets, buckets, a[g[hit]], f[g[hit]], o[hit])
+            out += _pieces(1, (key[first] % np.uint64(buckets)).astype(np.int64), buckets, key[first], np.minimum(total, 2), a[g[first]], f[g[first]], o[first])
+            yield _piece_rows(out)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, weight, a, f, o in _each_bucket(batches, 5):
+            order = np.argsort(key, kind="stable")
+            key, weight, a, f, o = (x[order] for x in (key, weight, a, f, o))
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            hit = (np.repeat(np.add.reduceat(weight, first), np.diff(np.concatenate((first, [len(key)])))) > 1) & (weight == 1)
+            yield _piece_rows(_pieces(0, f[hit] % buckets, buckets, a[hit], f[hit], o[hit]))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _each_bucket(batches, 3):
+            order = np.lexsort(found[::-1])
+            a, f, o = found[:, order]
+            # A span ends where the next window is another fragment's or begins beyond it.
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (f[1:] != f[:-1]) | (o[1:] > o[:-1] + window)))
+            k = np.flatnonzero(new)
+            end = o[np.concatenate((k[1:], [len(o)])) - 1] + window
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[k], f[k], o[k], end - o[k])], names=["a", "f", "o", "l"])
+
+    packed = "kind int, bucket int, data binary"
+    sent = scratch.keep(rows.select("a", "f", "n", "words").mapInArrow(emit, packed), "windows")
+    met = sent.where("kind = 1").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, packed)
+    hits = sent.where("kind = 0").union(met)
+    return hits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(spans, "a bigint, f bigint, o bigint, l bigint")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -167,7 +230,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = known.where("kinds > 1 or (n = 1 and again)").select("a", "f", "n", "heavy", "r", "s", "k")
     held = scratch.keep(_contents(docs, wanted).dropDuplicates(["a", "f"]), "contents")
     whole = known.where("n > 1").select("a", "f", F.lit(0).cast("bigint").alias("o"), F.col("k").alias("l"))
-    found = whole.union(_shards(held.where("not heavy"))).union(_by_windows(held.where("heavy")))
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = whole.union(_shards(held.where("not heavy"))).union(_by_windows(held.where("heavy"), scratch, buckets))
     found = scratch.keep(found, "found")
     scratch.drop(known, held)
     spans = occ.select("a", "f", "r", "s").join(found, ["a", "f"]).select("r", F.struct((F.col("s") + F.col("o")).alias("s"), F.col("l").alias("l")).alias("x"))
