@@ -78,3 +78,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, ban
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents over 2-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS (SELECT a.doc_id AS i, b.doc_id AS j FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(i, j) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.i, l.j FROM reach r JOIN (SELECT i, j FROM links UNION ALL SELECT j, i FROM links) l ON l.i = r.j)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.c AS component_id, s.doc_id = c.c AS kept FROM s JOIN (SELECT i, min(j) AS c FROM reach GROUP BY i) c ON c.i = s.doc_id
+"""

@@ -7,8 +7,10 @@ from .fingerprint import op4_fingerprint
 from .lines import op1_lines
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op5_mixing
+from .neardup import ORACLE as NEAR_SQL
 from .neardup import op3_minhash
 from .quality import op9_quality
+from .substring import ORACLE as SUBSTRING_SQL
 from .substring import op2_substring
 from .toxicity import op7_toxicity
 from .warc import ORACLE as WARC_SQL
@@ -28,6 +30,8 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op2_substring": SUBSTRING_SQL,
+    "op3_minhash": NEAR_SQL,
     "op5_mixing": MIXING_SQL,
     "op8_warc": WARC_SQL,
 }

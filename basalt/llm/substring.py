@@ -305,3 +305,13 @@ def against(docs: DataFrame, reference: list[str], window: int = WINDOW) -> Data
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document, as digests."""
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, j, array_to_string(list_slice(w, j, j + {WINDOW - 1}), ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - {WINDOW - 2})) AS j)),
+dup AS (SELECT r, j FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, unnest(range(j, j + {WINDOW})) AS k FROM dup),
+kept AS (SELECT q.r, string_agg(q.x, ' ' ORDER BY q.k) AS t FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d) q WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.r = q.r AND g.k = q.k) GROUP BY q.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, (SELECT count(*) FROM gone g WHERE g.r = d.r) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
