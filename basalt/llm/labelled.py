@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The most labelled rows that a classifier is fitted on.
-MOST_FITTED = 4000
+MOST_FITTED = 2500
 
 
 def remainder(n: int) -> Column:

@@ -136,11 +136,12 @@ def fit(texts: list[str], label: np.ndarray) -> Bags:
     n1 = int((label == 1).sum())
     if not n1 or n1 == len(label):
         return Bags({}, np.zeros(FEATURES), np.ones(FEATURES), n1 / len(label) if len(label) else 0.5)
-    raw = [t.encode() for t in texts]
-    off = np.cumsum([0, *map(len, raw)])
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    starts, at = passages(buf, off)
-    x = describe(buf, starts, off)
+    found, sizes = [], []
+    for _, _, buf, off in text_slices(pa.array(texts, pa.large_string())):
+        starts, at = passages(buf, off)
+        found.append(describe(buf, starts, off))
+        sizes.append(np.diff(at))
+    x, at = np.concatenate(found), np.cumsum(np.concatenate([[0], *sizes]))
     rng = np.random.default_rng(17)
     draw = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b))
     p = {"W": draw(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, GATES), "U": draw(HIDDEN, GATES), "w": draw(GATES, 1)[:, 0], "c": draw(HIDDEN, 1)[:, 0], "d": np.array([np.log(n1 / (len(label) - n1))])}

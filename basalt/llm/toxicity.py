@@ -26,11 +26,15 @@ from .words import LETTER, LOWER, MIX1, MIX2, mix, range_hashes, spans
 MODULUS, HELD_OUT = 5, 0
 #: Words with a weight of their own: the significant ones, and so many of the most frequent; others share one.
 FREQUENT, SLOT_BITS = 4096, 18
-#: Words count as toxic from this log-likelihood ratio on (chance of one in 100,000).
+#: Words count as toxic from this log-likelihood ratio on (a chance of about one in 100,000).
 SIGNIFICANT = 20.0
+#: They are so many times as common in toxic documents as in others, at least.
+TIMES = 4.0
 #: Training chains end after so many words; only fitting cuts them.
 CHAIN, ROUNDS = 64, 40
-SLICE = 8 << 20
+SLICE = 4 << 20
+#: Pairs of words whose chances are computed at once in fitting.
+PAIRS = 1 << 17
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +135,7 @@ def toxic_words(index: np.ndarray, n: int, at: np.ndarray, label: np.ndarray) ->
             return np.nan_to_num(k * np.log(p), nan=0.0) + np.nan_to_num((n - k) * np.log1p(-p), nan=0.0)
 
     ratio = 2 * (fit(k1, n1, k1 / n1) + fit(k0, n0, k0 / n0) - fit(k1, n1, p) - fit(k0, n0, p))
-    return (k1 / n1 > k0 / n0) & (ratio >= SIGNIFICANT)
+    return (k1 / n1 > TIMES * k0 / n0) & (ratio >= SIGNIFICANT)
 
 
 def fit(texts: list[str], label: np.ndarray) -> Field:
@@ -140,16 +144,19 @@ def fit(texts: list[str], label: np.ndarray) -> Field:
     if not n1 or n1 == len(label):
         share = n1 / len(label) if len(label) else 0.5
         return Field(none.astype(np.uint64), none, -6.0, np.zeros((2, 2)), np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0, 0]))
-    raw = [t.encode() for t in texts]
-    off = np.cumsum([0, *map(len, raw)])
-    w, _, _, at = tokens(np.frombuffer(b"".join(raw), np.uint8), off)
-    doc = np.repeat(np.arange(len(label)), np.diff(at))
+    hashes, sizes = [], []
+    for _, _, buf, off in text_slices(pa.array(texts, pa.large_string())):
+        h, _, _, at = tokens(buf, off)
+        hashes.append(h)
+        sizes.append(np.diff(at))
+    w, at = np.concatenate(hashes), np.cumsum(np.concatenate([[0], *sizes]))
+    doc = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(at))
     words, index, count = np.unique(w, return_inverse=True, return_counts=True)
     toxic = toxic_words(index, len(words), at, label)
     y = (toxic[index] & (label[doc] == 1)).astype(float)
     # Index 0 is for the words without a weight of their own.
     keyed = np.union1d(np.flatnonzero(toxic), np.argsort(-count, kind="stable")[:FREQUENT])
-    of = np.zeros(len(words), np.int64)
+    of = np.zeros(len(words), np.int32)
     of[keyed] = np.arange(1, len(keyed) + 1)
     index = of[index]
     place = np.arange(len(w)) - at[:-1][doc]
@@ -165,10 +172,13 @@ def fit(texts: list[str], label: np.ndarray) -> Field:
         f, back = passes(u, cuts, p["steps"])
         gap = sigmoid(f + back) - y
         # The chance of each pair of states: forward to the first, the step, the second's weight and backward.
-        before, after = f[pair - 1], u[pair] + back[pair]
-        e = p["steps"][:, :, None] + np.stack([np.stack([0 * before, after]), np.stack([before, before + after])])
-        e = np.exp(e - e.max((0, 1)))
-        both = (e / e.sum((0, 1))).sum(2)
+        both = np.zeros((2, 2))
+        for k in range(0, len(pair), PAIRS):
+            j = pair[k : k + PAIRS]
+            before, after = f[j - 1], u[j] + back[j]
+            e = p["steps"][:, :, None] + np.stack([np.stack([0 * before, after]), np.stack([before, before + after])])
+            e = np.exp(e - e.max((0, 1)))
+            both += (e / e.sum((0, 1))).sum(2)
         word = np.bincount(index, gap, len(keyed) + 1) + 0.02 * p["word"]
         word[0] = 0
         adam.step({"word": word, "common": np.array([gap.sum()]), "steps": both - real + p["steps"]})
