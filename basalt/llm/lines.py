@@ -18,7 +18,6 @@ are one document, other rows of one doc_id are ordered by a hash of their text;
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,43 +27,86 @@ from pyspark.sql import functions as F
 
 from .base import Scratch, table, text_slices
 from .linking import link_members, pick
-from .shingles import PAIR_BASE, char_shingles
-from .words import MIX1, MIX2, mix, range_hashes
+from .words import BLANK, LOWER, MIX1, MIX2, mix, range_hashes
 
-CHARS, BANDS, ROWS, PERCENT = 8, 12, 4, 80
-#: Bits of a shingle's hash that signatures use; the rest of 64 is the line's number in its piece.
-HASH_BITS = 40
+#: A shingle is 8 bytes, so that it is a 64-bit number itself and sets are compared exactly.
+CHARS = 8
+BANDS, ROWS, PERCENT = 12, 4, 80
 #: Draws of the densification before a bin takes the next full one.
 DRAWS = 64
-_LOWER = {c: c + 32 for c in range(65, 91)}
+SLICE = 1 << 20
+SPREAD = np.uint64(0x9FB21C651E98DF25)
 
 
 def normal(line: str) -> str:
     """What of a line counts for equality."""
-    return line.strip(" \t\r\x0b\x0c").translate(_LOWER) if not line.isascii() else line.strip(" \t\r\x0b\x0c").lower()
-
-
-def name(line: bytes) -> int:
-    return int.from_bytes(hashlib.md5(line).digest()[:8], "little", signed=True)
-
-
-def bin_minima(lines: list[bytes], bins: int, chars: int = CHARS) -> np.ndarray:
-    """The one-permutation signature of each line (none empty), densified."""
-    off = np.cumsum([0, *map(len, lines)])
-    buf = np.frombuffer(b"".join(lines), np.uint8)
-    count = np.diff(off)
-    made = np.maximum(count - chars + 1, 1)
-    bounds = np.cumsum(made) - made
-    owner = np.repeat(np.arange(len(lines)), made)
-    first = np.arange(len(owner)) + (off[:-1] - bounds)[owner]
-    h = range_hashes(buf, first, first + np.minimum(count, chars)[owner], PAIR_BASE)
-    h = np.sort(owner.astype(np.uint64) << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS))
-    value = h & np.uint64((1 << HASH_BITS) - 1)
-    slot = (h >> np.uint64(HASH_BITS)).astype(np.int64) * bins + (value * np.uint64(bins) >> np.uint64(HASH_BITS)).astype(np.int64)
-    k = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-    out = np.zeros(len(lines) * bins, np.uint64)
-    full = np.zeros(len(lines) * bins, bool)
-    out[slot[k]], full[slot[k]] = value[k] + np.uint64(1), True
+    return line.strip(" \t\r\x0b\x0c").translate(_LOWER)
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+class Lines:
+    """The lines of many texts that are not blank: ASCII lower-cased bytes, start and end without blanks, text and number of
+    each, and an id: 64 bits of its hash."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        n, docs = len(buf), len(off) - 1
+        cut = np.flatnonzero(buf == 10)
+        of = np.searchsorted(off, cut, "right") - 1
+        before = np.searchsorted(of, np.arange(docs + 1))
+        first = np.arange(docs) + before[:-1]
+        start, end, doc = (np.empty(docs + len(cut), np.int64) for _ in range(3))
+        at = np.arange(len(cut)) + of
+        start[at + 1], start[first] = cut + 1, off[:-1]
+        end[np.arange(docs) + before[1:]], end[at] = off[1:], cut
+        doc = np.repeat(np.arange(docs), np.diff(before) + 1)
+        number = np.arange(len(start)) - first[doc]
+        solid = np.append(np.flatnonzero(~BLANK[buf]), n)
+        start = solid[np.searchsorted(solid, start)]
+        last = solid[np.maximum(np.searchsorted(solid, end) - 1, 0)] + 1
+        keep = (start < end) & (last > start)
+        self.low = np.concatenate((LOWER[buf], np.full(CHARS, 255, np.uint8)))
+        self.start, self.end, self.doc, self.number = start[keep], last[keep], doc[keep], number[keep]
+        self.id = range_hashes(self.low, self.start, self.end).view(np.int64)
+
+    def once(self) -> np.ndarray:
+        """Where each id is first."""
+        return np.unique(self.id, return_index=True)[1]
+
+    def bytes(self, k: np.ndarray) -> list[bytes]:
+        raw = self.low.tobytes()
+        return [raw[a:b] for a, b in zip(self.start[k].tolist(), self.end[k].tolist())]
+
+
+def shingles(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of lines as numbers, in order and with repetition, and each line's offset. A shorter line is one shingle,
+    filled up with bytes that no text has. low has 8 bytes beyond the last line."""
+    size = end - start
+    made = np.maximum(size - CHARS + 1, 1)
+    at = np.cumsum(np.concatenate(([0], made)))
+    place = np.arange(at[-1]) + np.repeat(start - at[:-1], made)
+    low = np.ascontiguousarray(low)
+    values = np.ndarray((len(low) - CHARS + 1,), "<u8", low.data, strides=(1,))[place]
+    for k in np.flatnonzero(size < CHARS).tolist():
+        values[at[k]] |= np.uint64((-1 << 8 * int(size[k])) & 0xFFFFFFFFFFFFFFFF)
+    return values, at
+
+
+def bin_minima(low: np.ndarray, start: np.ndarray, end: np.ndarray, bins: int) -> np.ndarray:
+    """The one-permutation signature of each line, densified."""
+    values, at = shingles(low, start, end)
+    n = len(start)
+    h = values * SPREAD
+    h ^= h >> np.uint64(29)
+    h *= MIX2
+    h ^= h >> np.uint64(32)
+    slot = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    slot += np.repeat(np.arange(n) * bins, np.diff(at))
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = np.full(n * bins, none, np.uint64)
+    np.minimum.at(out, slot, h)
+    full = out != none
     # An empty bin takes what a bin drawn by its own number holds; all lines draw alike.
     todo = np.flatnonzero(~full)
     for t in range(DRAWS + bins):
@@ -87,47 +129,27 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def _lines(texts: list[str | None]) -> Iterator[tuple[int, int, bytes]]:
-    """Text's number, line's number and normal bytes of every line that is not blank."""
-    for i, t in enumerate(texts):
-        for k, x in enumerate((t or "").split("\n")):
-            if x := normal(x):
-                yield i, k, x.encode()
+def open_lines(column: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct shingles of each line of a column of bytes."""
+    out = []
+    for _, _, buf, off in text_slices(column, SLICE):
+        values, at = shingles(np.concatenate((buf, np.full(CHARS, 255, np.uint8))), off[:-1], off[1:])
+        out += [np.unique(values[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    return out
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """id, r, doc_id and line of every line that is not blank of rows (r, doc_id, text)."""
+def contents(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and set (the line's bytes, of which its shingles are made where they are compared) of the lines wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, _, _ in text_slices(batch.column("text")):
-                part = batch.slice(a, b - a)
-                rows = [(name(x), i, k) for i, k, x in _lines(part.column("text").to_pylist())]
-                ids, at, lines = zip(*rows) if rows else ((), (), ())
-                at = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), part.column("r").take(at), part.column("doc_id").take(at), pa.array(lines, pa.int64())], names=["id", "r", "doc_id", "line"])
-
-    return docs.select("r", "doc_id", "text").mapInArrow(run, "id bigint, r bigint, doc_id bigint, line bigint")
-
-
-def contents(docs: DataFrame, ids: DataFrame, chars: int = CHARS) -> DataFrame:
-    """id and set of the lines wanted, each once."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, _, _ in text_slices(batch.column("text")):
-                found = {name(x): x for _, _, x in _lines(batch.column("text").slice(a, b - a).to_pylist())}
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["id", "line"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, buf, off in text_slices(batch.column("line")):
-                values, at = char_shingles(buf, off, chars)
-                raw = values.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], names=["id", "set"])
+            for _, _, buf, off in text_slices(batch.column("text"), SLICE):
+                x = Lines(buf, off)
+                k = x.once()
+                yield pa.RecordBatch.from_arrays([pa.array(x.id[k]), pa.array(x.bytes(k), pa.binary())], names=["id", "set"])
 
-    lines = docs.select("text").mapInArrow(each, "id bigint, line binary")
-    return pick(lines, ids).groupBy("id").agg(F.min("line").alias("line")).mapInArrow(sets, "id bigint, set binary")
+    found = docs.select("text").mapInArrow(run, "id bigint, `set` binary")
+    return pick(found, ids).groupBy("id").agg(F.min("set").alias("set"))
 
 
 def _stars(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,45 +163,65 @@ def _stars(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key, ids, np.repeat(ids[first], n), np.repeat(n, n)
 
 
-def bucket_members(docs: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
-    """key, id and pivot of lines that share a band key; an id may come more than once with a key."""
+def emitted(docs: DataFrame, buckets: int) -> DataFrame:
+    """Packed pieces of rows (r, doc_id, text): in bucket -2 every line's id, r, doc_id, whether that is null, and number; in
+    bucket -1 key, id and pivot of lines that share a key within a batch; in the others key and id of one line a key."""
 
-    def pack(key: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> bytes:
-        return np.stack((key.view(np.int64), ids, *more)).tobytes()
+    def pack(*columns: np.ndarray) -> bytes:
+        return np.stack([c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in columns]).tobytes()
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = [], []
-            for a, b, _, _ in text_slices(batch.column("text")):
-                found = {name(x): x for _, _, x in _lines(batch.column("text").slice(a, b - a).to_pylist())}
-                if found:
-                    k = keys_of(bin_minima(list(found.values()), BANDS * ROWS))
-                    keys.append(k.ravel())
-                    ids.append(np.repeat(np.fromiter(found, np.int64, len(found)), BANDS))
-            if not keys:
-                continue
-            key, id_, pivot, n = _stars(np.concatenate(keys), np.concatenate(ids))
-            here = n > 1
-            out = [(-1, pack(key[here], id_[here], pivot[here]))] if here.any() else []
-            one = id_ == pivot
-            key, id_ = key[one], id_[one]
-            to = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[order], np.arange(buckets + 1))
-            for q in range(buckets):
-                if cut[q] < cut[q + 1]:
-                    o = order[cut[q] : cut[q + 1]]
-                    out.append((q, pack(key[o], id_[o])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "pairs"])
+            r, null = batch.column("r").to_numpy(), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            doc_id = batch.column("doc_id").fill_null(0).to_numpy()
+            keys, ids, out = [], [], []
+            for a, _, buf, off in text_slices(batch.column("text"), SLICE):
+                x = Lines(buf, off)
+                if not len(x.id):
+                    continue
+                row = a + x.doc
+                out.append((-2, pack(x.id, r[row], doc_id[row], null[row], x.number)))
+                k = x.once()
+                keys.append(keys_of(bin_minima(x.low, x.start[k], x.end[k], BANDS * ROWS)).ravel())
+                ids.append(np.repeat(x.id[k], BANDS))
+            if keys:
+                key, id_, pivot, n = _stars(np.concatenate(keys), np.concatenate(ids))
+                here = n > 1
+                if here.any():
+                    out.append((-1, pack(key[here], id_[here], pivot[here])))
+                one = id_ == pivot
+                key, id_ = key[one], id_[one]
+                to = (key % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                cut = np.searchsorted(to[order], np.arange(buckets + 1)).tolist()
+                out += [(q, pack(key[order[i:j]], id_[order[i:j]])) for q, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if i < j]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "data"])
+
+    return docs.select("r", "doc_id", "text").mapInArrow(run, "bucket int, data binary")
+
+
+def places(packed: DataFrame) -> DataFrame:
+    """id, r, doc_id and line of every line that is not blank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d in batch.column("data"):
+                i, r, doc, null, line = np.frombuffer(d.as_buffer(), np.int64).reshape(5, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(r), pa.array(doc, mask=null.astype(bool)), pa.array(line)], names=["id", "r", "doc_id", "line"])
+
+    return packed.where("bucket = -2").select("data").mapInArrow(run, "id bigint, r bigint, doc_id bigint, line bigint")
+
+
+def members_of(packed: DataFrame) -> DataFrame:
+    """key, id and pivot of lines that share a band key; an id may come more than once with a key."""
 
     def rows(key: np.ndarray, ids: np.ndarray, pivot: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), ids, pivot)], names=["key", "id", "pivot"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p in batch.column("pairs"):
-                key, ids, pivot = np.frombuffer(p.as_buffer(), np.int64).reshape(3, -1)
-                yield rows(key, ids, pivot)
+            for p in batch.column("data"):
+                yield rows(*np.frombuffer(p.as_buffer(), np.int64).reshape(3, -1))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
@@ -190,7 +232,7 @@ def bucket_members(docs: DataFrame, scratch: Scratch, buckets: int) -> DataFrame
             return rows(key[n > 1], ids[n > 1], pivot[n > 1])
 
         for batch in batches:
-            for q, p in zip(batch.column("bucket").to_pylist(), batch.column("pairs").to_pylist()):
+            for q, p in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
                 if q != last and held:
                     yield out()
                     held = []
@@ -199,27 +241,27 @@ def bucket_members(docs: DataFrame, scratch: Scratch, buckets: int) -> DataFrame
         if held:
             yield out()
 
-    packed = scratch.keep(docs.select("text").mapInArrow(emit, "bucket int, pairs binary"), "packed")
     schema = "key bigint, id bigint, pivot bigint"
-    here = packed.where("bucket < 0").mapInArrow(unpack, schema)
+    here = packed.where("bucket = -1").mapInArrow(unpack, schema)
     met = packed.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, schema)
-    out = scratch.keep(here.union(met), "members")
-    scratch.drop(packed)
-    scratch.release()
-    return out
+    return here.union(met)
 
 
-def line_spans(docs: DataFrame, percent: int = PERCENT, chars: int = CHARS) -> DataFrame:
+def line_spans(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """r and lines (array of line numbers) to remove from rows (r, doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    where = scratch.keep(places(docs), "places")
-    # Pieces of a bucket: some MB at any size of input, as partitions are sized to it.
-    members = bucket_members(docs, scratch, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    size = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_distinct("id").alias("n")).where("n > 2").select("key")
+    # Buckets of some MB at any size of input, as partitions are sized to it.
+    packed = scratch.keep(emitted(docs, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "packed")
+    members = scratch.keep(members_of(packed), "members")
+    where = scratch.keep(places(packed), "places")
+    scratch.drop(packed)
+    scratch.release()
+    size = members.groupBy("key").agg(F.count_distinct("id").alias("n")).where("n > 2").select("key")
     large = members.join(size, "key", "left_semi").select("key", "id").distinct()
-    roots = link_members(members, large, lambda ids: contents(docs, ids, chars), percent, scratch)
+    roots = link_members(members, large, lambda ids: contents(docs, ids), percent, scratch, open_lines, 1)
     scratch.drop(members)
+    scratch.release()
     place = F.struct("doc_id", "r", "line")
     kinds = where.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     kinds = scratch.keep(kinds, "kinds")
@@ -232,12 +274,12 @@ def line_spans(docs: DataFrame, percent: int = PERCENT, chars: int = CHARS) -> D
     return out
 
 
-def line_dedup(docs: DataFrame, percent: int = PERCENT, chars: int = CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All columns of documents, with the text that is left, and n_lines, n_removed (with __ before, where there is such a
     column already)."""
     names = docs.columns
     row = F.xxhash64("text", "doc_id")
-    gone = line_spans(docs.select(row.alias("r"), "doc_id", "text"), percent, chars)
+    gone = line_spans(docs.select(row.alias("r"), "doc_id", "text"), percent)
     rows = docs.select(*names, row.alias("__row"))
     joined = rows.join(gone.select(F.col("r").alias("__gone_row"), F.col("lines").alias("__lines")), F.col("__row") == F.col("__gone_row"), "left").select(*names, "__lines")
 

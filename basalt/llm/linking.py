@@ -24,6 +24,8 @@ from .shingles import similar
 BLOCK_SHINGLES, SET_LEAST = 1 << 17, 128
 #: Columns of the 0/1 matrix that is multiplied at once.
 COLUMNS = 4096
+#: Pairs whose sets are open at once.
+PAIRS = 1024
 #: So many ids (8 bytes each) are broadcast at most to pick rows; beyond, they are joined.
 MOST_BROADCAST = 1_000_000
 
@@ -36,16 +38,24 @@ def pick(df: DataFrame, ids: DataFrame, on: str = "id", how: str = "left_semi")
     return df.join(ids, df[on] == F.col("__id"), how)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+Opened = Callable[[pa.Array], list[np.ndarray]]
+
+
+def open_numbers(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, opened: Opened = open_numbers) -> DataFrame:
     """Pairs u, v whose sets are similar."""
     a = sets.select(F.col("id").alias("u"), F.col("set").alias("a"))
     b = sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("a"), batch.column("b")
-            keep = [similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y)]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for k in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(k, PAIRS)
+                keep = [similar(p, q, percent) for p, q in zip(opened(part.column("a")), opened(part.column("b")))]
+                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
@@ -89,14 +99,14 @@ def links(sets: list[np.ndarray], root: list[int], percent: int) -> list[tuple[i
     return out
 
 
-def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, opened: Opened, unit: int) -> DataFrame:
     """Links in buckets of several components."""
     m = members.select("key", "id").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     m = scratch.keep(m, "large")
     mixed = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     # Buckets of equal members are looked at once.
     mixed = mixed.where("lo <> hi").groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key")
-    sized = sets.select("id", (F.octet_length("set") / 8).cast("bigint").alias("size"))
+    sized = sets.select("id", (F.octet_length("set") / unit).cast("bigint").alias("size"))
     m = m.join(mixed, "key").join(sized, "id")
     run_size = F.sum(F.col("size") + SET_LEAST).over(W.partitionBy("key").orderBy("root", "id"))
     m = scratch.keep(m.select("key", "id", "root", F.floor(run_size / BLOCK_SHINGLES).cast("int").alias("block")), "mixed")
@@ -108,7 +118,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
 
     def run(table: pa.Table) -> pa.Table:
         ids, root = table.column("id").to_pylist(), table.column("root").to_pylist()
-        held = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        held = opened(table.column("set").combine_chunks())
         found = [(ids[i], ids[j]) for i, j in links(held, root, percent)]
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
@@ -126,13 +136,14 @@ def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     return out
 
 
-def link_members(members: DataFrame, large: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
-    """The same from members (key, id, pivot) of buckets; large has key, id of those of three members or more, once each."""
+def link_members(members: DataFrame, large: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, opened: Opened = open_numbers, unit: int = 8) -> DataFrame:
+    """The same from members (key, id, pivot) of buckets; large has key, id of those of three members or more, once each.
+    opened makes sorted distinct numbers of a column of sets; unit: bytes of a set for each of its numbers."""
     pairs = members.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
     sets = scratch.keep(sets_of(members.select("id").distinct()), "sets")
-    first = scratch.keep(verified(pairs, sets, percent), "first")
+    first = scratch.keep(verified(pairs, sets, percent, opened), "first")
     labels = components(first, scratch)
-    second = scratch.keep(_rest(large, labels, sets, percent, scratch), "second")
+    second = scratch.keep(_rest(large, labels, sets, percent, scratch, opened, unit), "second")
     out = components(first.union(second), scratch)
     scratch.drop(sets)
     return out

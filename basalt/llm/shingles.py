@@ -35,16 +35,6 @@ def word_shingles(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray,
     return distinct(range_hashes(h, first, last, PAIR_BASE), bounds)
 
 
-def char_shingles(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-byte shingles of each text; shorter texts are one shingle, empty ones have none."""
-    count = np.diff(off)
-    made = np.where(count >= n, count - n + 1, np.minimum(count, 1))
-    bounds = np.cumsum(np.concatenate(([0], made)))
-    first = np.arange(bounds[-1]) + np.repeat(off[:-1] - bounds[:-1], made)
-    last = first + np.repeat(np.minimum(count, n), made)
-    return distinct(range_hashes(buf, first, last, PAIR_BASE), bounds)
-
-
 def signatures(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Circulant MinHash, one row of `size` numbers for each non-empty set (rows of empty ones are 0).
 

@@ -178,17 +178,31 @@ def test_signatures_estimate_similarity():
     rng = random.Random(4)
     import numpy as np
 
-    from basalt.llm.shingles import char_shingles, signatures
+    from basalt.llm.shingles import distinct, signatures
 
-    text = "".join(rng.choice("abcdefgh ") for _ in range(600))
-    other = text[:520] + "".join(rng.choice("abcdefgh ") for _ in range(80))
-    both = [text.encode(), other.encode()]
-    v, at = char_shingles(np.frombuffer(b"".join(both), np.uint8), np.array([0, 600, 1200]), 8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(600)).encode()
+    other = text[:520] + "".join(rng.choice("abcdefgh ") for _ in range(80)).encode()
+    low = np.frombuffer(text + other + b"\xff" * 8, np.uint8)
+    start, end = np.array([0, 600]), np.array([600, 1200])
+    v, at = distinct(*lines.shingles(low, start, end))
     a, b = set(v[: at[1]].tolist()), set(v[at[1] :].tolist())
-    s = signatures(v, at, 400)
-    assert abs((s[0] == s[1]).mean() - len(a & b) / len(a | b)) < 0.08
-    m = lines.bin_minima(both, 96)
-    assert abs((m[0] == m[1]).mean() - len(a & b) / len(a | b)) < 0.16
+    share = len(a & b) / len(a | b)
+    from basalt.llm.words import mix
+
+    s = signatures(mix(v), at, 400)
+    assert abs((s[0] == s[1]).mean() - share) < 0.08
+    m = lines.bin_minima(low, start, end, 96)
+    assert abs((m[0] == m[1]).mean() - share) < 0.16
+
+
+def test_lines_of_a_buffer():
+    import numpy as np
+
+    texts = ["a\n B \n\n", "", "\n", "  \t", "x", "Ab\n\nÉ q\r\n"]
+    raw = [t.encode() for t in texts]
+    x = lines.Lines(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [(d, k, lines.normal(y).encode()) for d, t in enumerate(texts) for k, y in enumerate(t.split("\n")) if lines.normal(y)]
+    assert list(zip(x.doc.tolist(), x.number.tolist(), x.bytes(np.arange(len(x.id))))) == want
 
 
 @pytest.mark.parametrize("name", ["op1_lines", "op2_substring", "op3_minhash"])
