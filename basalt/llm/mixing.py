@@ -61,32 +61,36 @@ def with_cdf(by_source: DataFrame) -> DataFrame:
 
 
 def replicate(docs: DataFrame, by_source: DataFrame, seed: int = SEED) -> DataFrame:
-    """Every document as often as its draw says, with rate, copy (from 1) and shuffle_key, not yet in order."""
+    """Every document as often as its draw says, with __rate, __copy (from 1) and __key, its place, not yet in order."""
     spark = docs.sparkSession
     rows = by_source.limit(MOST_SOURCES + 1).collect()
     small = len(rows) <= MOST_SOURCES
     s = with_cdf(spark.createDataFrame(rows, by_source.schema) if small else by_source)
-    s = s.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), "draws", "cdf")
+    s = s.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
     s = F.broadcast(s) if small else s
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     cols = docs.columns
     joined = docs.join(s, docs["source"].eqNullSafe(F.col("__source")))
-    one = lambda acc, j: acc + F.size(F.filter("cdf", lambda c: c <= _uniform(key, seed, j)))
-    n = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), one)
+    one = lambda acc, j: acc + F.size(F.filter("__cdf", lambda c: c <= _uniform(key, seed, j)))
+    n = F.aggregate(F.sequence(F.lit(1), F.col("__draws")), F.lit(0), one)
     out = joined.withColumn("__n", n).where("__n > 0")
-    out = out.select(*cols, F.col("__rate").alias("rate"), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    return out.withColumn("shuffle_key", F.md5(F.concat_ws("-", key, F.col("copy").cast("string"), F.lit(str(seed)), F.lit("order"))))
+    out = out.select(*cols, "__rate", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
+    return out.withColumn("__key", F.md5(F.concat_ws("-", key, F.col("__copy").cast("string"), F.lit(str(seed)), F.lit("order"))))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, temper: float = TEMPER, size: float = 1.0) -> DataFrame:
-    """The documents mixed to the weights, in their new order; all columns of docs, rate, copy and shuffle_key."""
-    return replicate(docs, rates(docs, weights, temper, size), seed).orderBy("shuffle_key", "doc_id", "copy")
+    """The documents mixed to the weights, in their new order; all columns of docs, and rate, copy and shuffle_key, which have __ before
+    their names where docs has such a column already."""
+    out = replicate(docs, rates(docs, weights, temper, size), seed).orderBy("__key", "doc_id", "__copy")
+    new = {"__rate": "rate", "__copy": "copy", "__key": "shuffle_key"}
+    return out.select(*docs.columns, *[F.col(c).alias(n if n not in docs.columns else f"__{n}") for c, n in new.items()])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, without their texts: doc_id, source, rate, copy and place in the global order."""
     docs = table(spark, sf_dir, "documents")
-    return replicate(docs.select("doc_id", "source"), rates(docs)).orderBy("shuffle_key", "doc_id", "copy").select("doc_id", "source", "rate", F.col("copy").cast("bigint").alias("copy"), "shuffle_key")
+    out = replicate(docs.select("doc_id", "source"), rates(docs)).orderBy("__key", "doc_id", "__copy")
+    return out.select("doc_id", "source", F.col("__rate").alias("rate"), F.col("__copy").cast("bigint").alias("copy"), F.col("__key").alias("shuffle_key"))
 
 
 def mixing_sql(docs: str, seed: int = SEED) -> str:
