@@ -65,6 +65,6 @@ def test_row_checks_are_one_pass(spark):
 
     w = bridge.ledger_of(spark, SF).window(0, 79)
     n = {c.number for c in CHECKS if c.dataset}
-    assert len(n) == 11
+    assert len(n) == 12
     scans = gate.counts(w).where("check_number in (27, 28, 29)")
     assert scans.count() == 3
