@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,8 +25,8 @@ from .shingles import similar
 BLOCK_SHINGLES, SET_LEAST = 1 << 17, 128
 #: Columns of the 0/1 matrix that is multiplied at once.
 COLUMNS = 4096
-#: Pairs whose sets are open at once.
-PAIRS = 1024
+#: Pairs whose sets are open at once, and bytes that their sets have at most, but for a single pair.
+PAIRS, PAIR_BYTES = 1024, 1 << 22
 #: So many ids (8 bytes each) are broadcast at most to pick rows; beyond, they are joined.
 MOST_BROADCAST = 1_000_000
 
@@ -52,9 +53,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, opened: Opened = o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, PAIRS):
-                part = batch.slice(k, PAIRS)
-                keep = [similar(p, q, percent) for p, q in zip(opened(part.column("a")), opened(part.column("b")))]
+            filled = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in "ab"))
+            k = 0
+            while k < batch.num_rows:
+                most = int(np.searchsorted(filled, (filled[k - 1] if k else 0) + PAIR_BYTES, "right")) - k
+                part = batch.slice(k, min(PAIRS, max(most, 1)))
+                k += part.num_rows
+                # Equal sets are opened once; an id may have several.
+                both = pa.concat_arrays([part.column("a"), part.column("b")]).dictionary_encode()
+                held = opened(both.dictionary)
+                p, q = both.indices.to_numpy().reshape(2, -1).tolist()
+                keep = [similar(held[i], held[j], percent) for i, j in zip(p, q)]
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")

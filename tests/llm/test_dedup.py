@@ -167,6 +167,25 @@ def test_lines(spark, folder, rows):
     assert sum(r["n_removed"] for r in found) > 0
 
 
+def test_lines_with_one_letter_or_word_changed(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(6))
+    rows, letters, words = [], [], []
+    for k, n in enumerate(range(30, 131, 5)):
+        w = [word() for _ in range(n // 7 + 1)]
+        text = " ".join(w)[:n]
+        other = text[: n // 2] + "x" + text[n // 2 + 1 :]
+        w[len(w) // 2] = word()
+        rows += [(3 * k, text), (3 * k + 1, other), (3 * k + 2, " ".join(w)[:n])]
+        letters += [3 * k + 1] * (n >= 50)
+        words += [3 * k + 2] * (n >= 100)
+    found = lines.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    gone = {r["doc_id"] for r in found if r["n_removed"]}
+    assert gone >= {*letters, *words}
+    assert not any(i % 3 == 0 for i in gone)
+    assert Counter((r["doc_id"], r["n_lines"], r["n_removed"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in found) == line_brute(rows)
+
+
 def test_line_columns_stay(spark, folder):
     docs = base.table(spark, folder, "documents")
     out = lines.line_dedup(docs)
