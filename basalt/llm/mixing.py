@@ -86,8 +86,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SE
     return out.select(*docs.columns, *[F.col(c).alias(n if n not in docs.columns else f"__{n}") for c, n in new.items()])
 
 
+def op5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents with their texts, in the global order: doc_id, source, text, rate, copy and shuffle_key."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs).withColumn("copy", F.col("copy").cast("bigint"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents, without their texts: doc_id, source, rate, copy and place in the global order."""
+    """The order alone of op5_documents, without texts: doc_id, source, rate, copy and place in the global order."""
     docs = table(spark, sf_dir, "documents")
     out = replicate(docs.select("doc_id", "source"), rates(docs)).orderBy("__key", "doc_id", "__copy")
     return out.select("doc_id", "source", F.col("__rate").alias("rate"), F.col("__copy").cast("bigint").alias("copy"), F.col("__key").alias("shuffle_key"))

@@ -6,7 +6,7 @@ from .bpe import op10_bpe
 from .fingerprint import op4_fingerprint
 from .lines import op1_lines
 from .mixing import ORACLE as MIXING_SQL
-from .mixing import op5_mixing
+from .mixing import op5_documents, op5_mixing
 from .neardup import ORACLE as NEAR_SQL
 from .neardup import op3_minhash
 from .quality import op9_quality
@@ -22,6 +22,7 @@ QUERIES = {
     "op2_substring": op2_substring,
     "op3_minhash": op3_minhash,
     "op4_fingerprint": op4_fingerprint,
+    "op5_documents": op5_documents,
     "op5_mixing": op5_mixing,
     "op6_webp": op6_webp,
     "op7_toxicity": op7_toxicity,

@@ -406,6 +406,21 @@ def test_mixing_by_sql(spark, folder):
     assert [r["shuffle_key"] for r in found] == sorted(r["shuffle_key"] for r in found)
 
 
+def test_mixed_documents_have_their_texts(spark, folder):
+    found = QUERIES["op5_documents"](spark, folder).collect()
+    order = _duck(folder).sql(ORACLES["op5_mixing"]).fetchall()
+    texts = {}
+    for i, source, text in _duck(folder).sql("SELECT doc_id, source, text FROM documents").fetchall():
+        texts.setdefault((i, source), Counter())[text] += 1
+    want = Counter((r[0], r[1], r[4]) for r in order)
+    assert Counter((r["doc_id"], r["source"], r["shuffle_key"]) for r in found) == want
+    held = {}
+    for r in found:
+        held.setdefault((r["doc_id"], r["source"], r["copy"]), Counter())[r["text"]] += 1
+    assert all(c == texts[k[:2]] for k, c in held.items()) and any(r["text"] for r in found)
+    assert [r["shuffle_key"] for r in found] == sorted(r["shuffle_key"] for r in found)
+
+
 def test_mixing_meets_weights(spark):
     rows = [(i, "x" * (5 + i % 9), "big" if i % 10 else "small") for i in range(6000)] + [(None, "y", None), (7000, None, "void"), (7001, "z", "free")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
