@@ -212,11 +212,12 @@ def told(bpe: WordBPE, ids: bytes) -> str:
     return h.hexdigest()
 
 
-def encode(df: DataFrame, tokenizer_path: str, column: str = "text", to: str = "ids", digest: bool = False) -> DataFrame:
+def encode(df: DataFrame, tokenizer_path: str, column: str = "text", to: str = "ids", digest: bool = False, both: bool = False) -> DataFrame:
     """Replaces a text column by its ids, binary of little-endian unsigned 32-bit integers; with digest by n_tokens,
-    ids_sha256 and decoded_sha256, the ids decoded again. Other columns of these names are replaced too. The tokenizer file, a
+    ids_sha256 and decoded_sha256, the ids decoded again; with both by all of these. Other columns of these names are replaced too. The tokenizer file, a
     few MB, is broadcast."""
-    made = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} if digest else {to: "binary"}
+    made = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} if digest or both else {}
+    made = {to: "binary"} | made if both or not digest else made
     df = df.drop(*(c for c in made if c != column))
     with open(tokenizer_path, encoding="utf-8") as f:
         held = df.sparkSession.sparkContext.broadcast(f.read())
@@ -227,10 +228,9 @@ def encode(df: DataFrame, tokenizer_path: str, column: str = "text", to: str = "
         for batch in batches:
             for part in sub_batches(batch, column):
                 found = [bpe.encode(t or "") for t in part.column(column).to_pylist()]
-                if digest:
-                    new = [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()), pa.array([told(bpe, x) for x in found], pa.string())]
-                else:
-                    new = [pa.array(found, pa.binary())]
+                new = [pa.array(found, pa.binary())] if both or not digest else []
+                if digest or both:
+                    new += [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()), pa.array([told(bpe, x) for x in found], pa.string())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], names=[*keep, *made])
 
     return df.mapInArrow(run, ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` {t}" for c, t in made.items()]))

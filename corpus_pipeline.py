@@ -48,9 +48,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document's text, with the digests of the ids and of what they decode to."""
+    """Ids of every document's text, with their number and the digests of the ids and of what they decode to."""
     path = bpe.tokenizer_file("word_bpe_49k.json")
-    return bpe.encode(docs.select("doc_id", "source", "text"), path, digest=True)
+    return bpe.encode(docs.select("doc_id", "source", "text"), path, both=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -85,6 +85,12 @@ def test_mixing_counts(spark, docs, folder):
     assert Counter(r["doc_id"] for r in STAGES["mixing"](spark, docs, folder).collect()) == want
 
 
+def test_tokens_are_given(spark, docs, folder):
+    found = STAGES["tokens"](spark, docs, folder).collect()
+    assert any(r["ids"] for r in found)
+    assert all(len(r["ids"]) == 4 * r["n_tokens"] and hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"] for r in found)
+
+
 def test_tokens(spark, docs, folder, rows):
     from tokenizers import Tokenizer
 
