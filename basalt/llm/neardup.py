@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import Scratch, table, text_slices
+from .components import components
 from .linking import link, pick
 from .shingles import band_keys, signatures, word_shingles
 
@@ -68,8 +69,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, ban
     classes = scratch.keep(classes, "classes")
     nodes = real.join(classes, ["h1", "h2"]).where("doc_id = rep").groupBy("rep", "h1", "h2").agg(F.first("keys").alias("keys")).select(F.col("rep").alias("id"), "keys")
     roots = link(nodes, sets_of(docs, words), percent, scratch)
+    # Texts of one doc_id are one document: their classes are linked, and texts without shingles go with them.
+    of = real.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep")
+    least = of.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id", "lo")
+    same = scratch.keep(of.join(least, "doc_id").where("rep <> lo").select(F.col("rep").alias("u"), F.col("lo").alias("v")).distinct(), "same")
+    if same.limit(1).count():
+        roots = components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).union(same), scratch)
+    bare = all_.where("n_shingles = 0 and doc_id is not null").select("doc_id").distinct()
+    bare = scratch.keep(of.join(bare, "doc_id").groupBy("doc_id").agg(F.min("rep").alias("other")), "bare")
     out = all_.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
     out = out.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")))
+    if bare.limit(1).count():
+        out = out.join(bare, "doc_id", "left").withColumn("rep", F.coalesce("rep", "other"))
     found = classes.select(F.col("rep").alias("id")).distinct().join(roots, "id")
     out = out.join(found, F.col("rep") == F.col("id"), "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

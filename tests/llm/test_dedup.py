@@ -58,6 +58,16 @@ def test_near_duplicates(spark, folder, rows, words):
             assert r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_different_texts_of_a_doc_id_are_one_document(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, ""), (8, c), (9, " "), (10, c + " end")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = near_brute(rows, 5)
+    assert len(found) == len(rows) and all(r["component_id"] == want[r["doc_id"]] for r in found)
+    assert {r["doc_id"] for r in found if r["kept"]} == {3, 8, 9}
+
+
 def test_no_link_is_lost_beside_the_pivot(spark):
     """A chain: neighbours are linked, others are not, and all share a bucket."""
     rng = random.Random(1)
