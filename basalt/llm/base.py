@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that numpy code handles at once; longer single texts make longer slices.
 SLICE_BYTES = 1 << 21
+#: Bytes of input for each bucket; a bucket's rows are held by one Python worker at a time. The number of buckets fits 23 bits: beyond
+#: some 500 TB buckets grow.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, (1 << 23) - 1
+#: What Spark estimates where it knows nothing is more than this.
+UNKNOWN_BYTES = 1 << 60
+#: Spark's setting for deleting a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, so that lost executors cost no recomputation of what is done.
 
-    keep() writes and rereads; drop() deletes a table whose readers have run.
+    keep() writes and rereads, and lets Spark delete the write's shuffle files, which nothing reads again; drop() deletes a table
+    whose readers have run.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -44,17 +51,17 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf = self.spark.conf
+        before = conf.get(SHUFFLE_CLEANUP, "false")
+        conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(SHUFFLE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of tables that are written by now; else they wait for the driver's own
-        garbage collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             if path := getattr(df, "_scratch_path", None):
@@ -66,6 +73,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def buckets_for(df: DataFrame) -> int:
+    """How many buckets to deal what is made of df into: some of BUCKET_BYTES of df, by Spark's own estimate, and a few for each
+    partition at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * partitions, min(size // BUCKET_BYTES, MOST_BUCKETS) if size < UNKNOWN_BYTES else 0)
+
+
 def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) over a string column; nulls are empty texts."""
     if isinstance(col, pa.ChunkedArray):

@@ -1,13 +1,19 @@
 """Line dedup: fuzzy lines by MinHash over character shingles, one line kept per component.
 
 Lines are the pieces of a text between newlines. Lines that are equal, ASCII lower-cased and without blanks at their ends, are one
-node from the start, named by 64 bits of their hash. Signatures are one-permutation MinHash of CHARS-byte shingles: one hash
+node from the start. Signatures are one-permutation MinHash of CHARS-byte shingles: one hash
 per shingle, the least in each of BANDS * ROWS bins, empty bins filled by the densification that keeps the chance of a match
 at the Jaccard similarity. Bands of it give candidates, exact Jaccard on the full shingle sets confirms links, and
 union-find over all links gives components. Of a component the first line stays, that of the least (doc_id, line number);
 all others are removed.
 
-A pair at the threshold of 0.8 shares none of the bands with a chance of about (1 - 0.8^4)^12 = 0.2 %; one at 0.9, 1e-6.
+A pair at the threshold of 0.8 shares none of the bands with a chance of about (1 - 0.8^6)^20 = 0.2 %; one at 0.9, 4e-7. Lines of
+one language that have nothing to do with each other (0.1) share one with a chance of 2e-5, so candidates grow little faster
+than lines.
+
+A line's name is 128 bits of its hash, id and check. Candidates carry id alone. Where an id has several checks, its lines
+are nodes of their own and candidates of each other, so that no two lines are taken for one by 64 bits alone; shingles are compared
+as the bytes they are.
 
 Band keys travel in packed pieces. What lines of a batch share a key is found in the batch, and one of them goes on for all,
 so that a key that very many lines share takes no more room in a task than there are batches.
@@ -24,19 +30,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from .base import Scratch, table, text_slices
+from .base import Scratch, buckets_for, table, text_slices
 from .linking import link_members, pick
-from .words import BLANK, LOWER, MIX1, MIX2, mix, range_hashes
+from .words import BLANK, LOWER, MIX1, MIX2, mix
 
 #: A shingle is packed into a 64-bit number, which it fits, so sets are compared exactly. Short, so that one letter changed in
 #: a line of 50 bytes leaves 0.8 of them.
 CHARS, WIDTH = 5, 8
-BANDS, ROWS, PERCENT = 12, 4, 80
+BANDS, ROWS, PERCENT = 20, 6, 80
 #: Draws of the densification before a bin takes the next full one.
 DRAWS = 64
 SLICE = 1 << 20
+#: Shingles that are open at once; longer lines are cut into parts of so many.
+PART = 1 << 18
 SPREAD = np.uint64(0x9FB21C651E98DF25)
+#: Bits of a band key that travel besides its bucket.
+KEY_BITS = 40
 
 
 def normal(line: str) -> str:
@@ -49,9 +60,9 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 class Lines:
     """The lines of many texts that are not blank: ASCII lower-cased bytes, start and end without blanks, text and number of
-    each, and an id: 64 bits of its hash."""
+    each, and id and check: two halves of its hash. id_bits: how many bits of id are used; tests use few."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, id_bits: int = 64):
         n, docs = len(buf), len(off) - 1
         cut = np.flatnonzero(buf == 10)
         of = np.searchsorted(off, cut, "right") - 1
@@ -69,11 +80,18 @@ class Lines:
         keep = (start < end) & (last > start)
         self.low = np.concatenate((LOWER[buf], np.full(WIDTH, 255, np.uint8)))
         self.start, self.end, self.doc, self.number = start[keep], last[keep], doc[keep], number[keep]
-        self.id = range_hashes(self.low, self.start, self.end).view(np.int64)
+        digests = b"".join(map(xxh3_128_digest, self.bytes(np.arange(len(self.start)))))
+        self.id, self.check = np.frombuffer(digests, np.int64).reshape(-1, 2).T.copy()
+        if id_bits < 64:
+            self.id &= (1 << id_bits) - 1
 
     def once(self) -> np.ndarray:
-        """Where each id is first."""
-        return np.unique(self.id, return_index=True)[1]
+        """Where each line is first."""
+        order = np.lexsort((self.check, self.id))
+        i, c = self.id[order], self.check[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (i[1:] != i[:-1]) | (c[1:] != c[:-1])
+        return np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
 
     def bytes(self, k: np.ndarray) -> list[bytes]:
         raw = self.low.tobytes()
@@ -96,19 +114,36 @@ def shingles(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return values, at
 
 
+def parts(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Lines in groups of some PART shingles, the longer ones in pieces: number of the line, start and end of each piece.
+    Every shingle is in one piece."""
+    count = np.maximum(end - start - CHARS, 0) // PART + 1
+    line = np.repeat(np.arange(len(start)), count)
+    k = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    a = start[line] + k * PART
+    b = np.minimum(end[line], a + PART + CHARS - 1)
+    total = np.cumsum(b - a)
+    i = 0
+    while i < len(line):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PART)))
+        yield line[i:j], a[i:j], b[i:j]
+        i = j
+
+
 def bin_minima(low: np.ndarray, start: np.ndarray, end: np.ndarray, bins: int) -> np.ndarray:
     """The one-permutation signature of each line, densified."""
-    values, at = shingles(low, start, end)
     n = len(start)
-    h = values * SPREAD
-    h ^= h >> np.uint64(29)
-    h *= MIX2
-    h ^= h >> np.uint64(32)
-    slot = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    slot += np.repeat(np.arange(n) * bins, np.diff(at))
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.full(n * bins, none, np.uint64)
-    np.minimum.at(out, slot, h)
+    for line, a, b in parts(start, end):
+        h, at = shingles(low, a, b)
+        h *= SPREAD
+        h ^= h >> np.uint64(29)
+        h *= MIX2
+        h ^= h >> np.uint64(32)
+        slot = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        slot += np.repeat(line * bins, np.diff(at))
+        np.minimum.at(out, slot, h)
     full = out != none
     # An empty bin takes what a bin drawn by its own number holds; all lines draw alike.
     todo = np.flatnonzero(~full)
@@ -134,25 +169,32 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
 
 def open_lines(column: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingles of each line of a column of bytes."""
-    out = []
-    for _, _, buf, off in text_slices(column, SLICE):
-        values, at = shingles(np.concatenate((buf, np.full(WIDTH, 255, np.uint8))), off[:-1], off[1:])
-        out += [np.unique(values[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    out: list[np.ndarray] = []
+    for first, _, buf, off in text_slices(column, SLICE):
+        low = np.concatenate((buf, np.full(WIDTH, 255, np.uint8)))
+        for line, start, end in parts(off[:-1], off[1:]):
+            values, at = shingles(low, start, end)
+            for k, a, b in zip(line.tolist(), at[:-1].tolist(), at[1:].tolist()):
+                v = np.unique(values[a:b])
+                if first + k < len(out):
+                    out[-1] = np.union1d(out[-1], v)
+                else:
+                    out.append(v)
     return out
 
 
-def contents(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and set (the line's bytes, of which its shingles are made where they are compared) of the lines wanted."""
+def contents(docs: DataFrame, ids: DataFrame, id_bits: int = 64) -> DataFrame:
+    """id, check and set (the line's bytes, of which its shingles are made where they are compared) of the lines of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, off in text_slices(batch.column("text"), SLICE):
-                x = Lines(buf, off)
+                x = Lines(buf, off, id_bits)
                 k = x.once()
-                yield pa.RecordBatch.from_arrays([pa.array(x.id[k]), pa.array(x.bytes(k), pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.id[k]), pa.array(x.check[k]), pa.array(x.bytes(k), pa.binary())], names=["id", "check", "set"])
 
-    found = docs.select("text").mapInArrow(run, "id bigint, `set` binary")
-    return pick(found, ids).groupBy("id").agg(F.min("set").alias("set"))
+    found = docs.select("text").mapInArrow(run, "id bigint, check bigint, `set` binary")
+    return pick(found, ids).groupBy("id", "check").agg(F.min("set").alias("set"))
 
 
 def _stars(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,9 +208,10 @@ def _stars(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key, ids, np.repeat(ids[first], n), np.repeat(n, n)
 
 
-def emitted(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed pieces of rows (r, doc_id, text): in bucket -2 every line's id, r, doc_id, whether that is null, and number; in
-    bucket -1 key, id and pivot of lines that share a key within a batch; in the others key and id of one line a key."""
+def emitted(docs: DataFrame, buckets: int, id_bits: int = 64) -> DataFrame:
+    """Packed pieces of rows (r, doc_id, text): in bucket -2 every line's id, check, r, doc_id, whether that is null, and number; in
+    bucket -1 key, id and pivot of lines that share a key within a batch; in the others KEY_BITS of the key and id of one line a
+    key. A key is its bucket and these bits."""
 
     def pack(*columns: np.ndarray) -> bytes:
         return np.stack([c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in columns]).tobytes()
@@ -179,13 +222,14 @@ def emitted(docs: DataFrame, buckets: int) -> DataFrame:
             doc_id = batch.column("doc_id").fill_null(0).to_numpy()
             keys, ids, out = [], [], []
             for a, _, buf, off in text_slices(batch.column("text"), SLICE):
-                x = Lines(buf, off)
+                x = Lines(buf, off, id_bits)
                 if not len(x.id):
                     continue
                 row = a + x.doc
-                out.append((-2, pack(x.id, r[row], doc_id[row], null[row], x.number)))
+                out.append((-2, pack(x.id, x.check, r[row], doc_id[row], null[row], x.number)))
                 k = x.once()
-                keys.append(keys_of(bin_minima(x.low, x.start[k], x.end[k], BANDS * ROWS)).ravel())
+                key = keys_of(bin_minima(x.low, x.start[k], x.end[k], BANDS * ROWS)).ravel()
+                keys.append((key >> np.uint64(KEY_BITS)) % np.uint64(buckets) << np.uint64(KEY_BITS) | key & np.uint64((1 << KEY_BITS) - 1))
                 ids.append(np.repeat(x.id[k], BANDS))
             if keys:
                 key, id_, pivot, n = _stars(np.concatenate(keys), np.concatenate(ids))
@@ -194,25 +238,25 @@ def emitted(docs: DataFrame, buckets: int) -> DataFrame:
                     out.append((-1, pack(key[here], id_[here], pivot[here])))
                 one = id_ == pivot
                 key, id_ = key[one], id_[one]
-                to = (key % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[order], np.arange(buckets + 1)).tolist()
-                out += [(q, pack(key[order[i:j]], id_[order[i:j]])) for q, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if i < j]
+                to = (key >> np.uint64(KEY_BITS)).astype(np.int64)
+                cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))).tolist()
+                low = np.ascontiguousarray(key.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
+                out += [(int(to[i]), low[i:j].tobytes() + id_[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "data"])
 
     return docs.select("r", "doc_id", "text").mapInArrow(run, "bucket int, data binary")
 
 
 def places(packed: DataFrame) -> DataFrame:
-    """id, r, doc_id and line of every line that is not blank."""
+    """id, check, r, doc_id and line of every line that is not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d in batch.column("data"):
-                i, r, doc, null, line = np.frombuffer(d.as_buffer(), np.int64).reshape(5, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(r), pa.array(doc, mask=null.astype(bool)), pa.array(line)], names=["id", "r", "doc_id", "line"])
+                i, c, r, doc, null, line = np.frombuffer(d.as_buffer(), np.int64).reshape(6, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(c), pa.array(r), pa.array(doc, mask=null.astype(bool)), pa.array(line)], names=["id", "check", "r", "doc_id", "line"])
 
-    return packed.where("bucket = -2").select("data").mapInArrow(run, "id bigint, r bigint, doc_id bigint, line bigint")
+    return packed.where("bucket = -2").select("data").mapInArrow(run, "id bigint, check bigint, r bigint, doc_id bigint, line bigint")
 
 
 def members_of(packed: DataFrame) -> DataFrame:
@@ -228,11 +272,18 @@ def members_of(packed: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
+        few = KEY_BITS // 8
 
         def out() -> pa.RecordBatch:
-            both = np.concatenate([np.frombuffer(p, np.int64).reshape(2, -1) for p in held], axis=1)
-            key, ids, pivot, n = _stars(both[0].view(np.uint64), both[1])
-            return rows(key[n > 1], ids[n > 1], pivot[n > 1])
+            keys, ids = [], []
+            for p in held:
+                n = len(p) // (few + 8)
+                wide = np.zeros((n, 8), np.uint8)
+                wide[:, :few] = np.frombuffer(p, np.uint8, n * few).reshape(n, few)
+                keys.append(wide.view("<u8").ravel() | np.uint64(last << KEY_BITS))
+                ids.append(np.frombuffer(p, np.int64, n, n * few))
+            key, id_, pivot, n = _stars(np.concatenate(keys), np.concatenate(ids))
+            return rows(key[n > 1], id_[n > 1], pivot[n > 1])
 
         for batch in batches:
             for q, p in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
@@ -250,41 +301,75 @@ def members_of(packed: DataFrame) -> DataFrame:
     return here.union(met)
 
 
-def line_spans(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """r and lines (array of line numbers) to remove from rows (r, doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
-    # Buckets of some MB at any size of input, as partitions are sized to it.
-    packed = scratch.keep(emitted(docs, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "packed")
-    members = scratch.keep(members_of(packed), "members")
+class Names:
+    """Nodes for lines: their ids, but for ids that stand for several lines (kinds: id, check, a row a line). These have nodes
+    of their own, and a bucket in which they meet."""
+
+    def __init__(self, kinds: DataFrame, scratch: Scratch):
+        several = kinds.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+        self.splits = scratch.keep(kinds.join(several, "id").select("id", "check", F.xxhash64("id", "check").alias("node")), "splits")
+        self.none = not self.splits.limit(1).count()
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """Rows with id and check: id becomes the node, check goes."""
+        if self.none:
+            return df.drop("check")
+        return df.join(self.splits, ["id", "check"], "left").withColumn("id", F.coalesce("node", "id")).drop("check", "node")
+
+    def each(self, df: DataFrame, column: str) -> DataFrame:
+        """A row for each node that an id of the column stands for."""
+        s = self.splits.select(F.col("id").alias("__i"), "node")
+        return df.join(s, F.col(column) == F.col("__i"), "left").withColumn(column, F.coalesce("node", column)).drop("__i", "node")
+
+    def members(self, m: DataFrame) -> DataFrame:
+        if self.none:
+            return m
+        own = self.splits.groupBy("id").agg(F.min("node").alias("pivot"))
+        own = self.splits.join(own, "id").select(F.xxhash64("id", F.lit("split")).alias("key"), F.col("node").alias("id"), "pivot")
+        return self.each(self.each(m, "id"), "pivot").select("key", "id", "pivot").union(own)
+
+    def sets(self, docs: DataFrame, nodes: DataFrame, id_bits: int) -> DataFrame:
+        if self.none:
+            return contents(docs, nodes, id_bits).drop("check")
+        back = self.splits.select(F.col("id").alias("__i"), "node")
+        ids = nodes.join(back, nodes["id"] == F.col("node"), "left").select(F.coalesce("__i", "id").alias("id")).distinct()
+        return self.named(contents(docs, ids, id_bits)).join(nodes, "id", "left_semi")
+
+
+def line_spans(docs: DataFrame, percent: int = PERCENT, id_bits: int = 64) -> DataFrame:
+    """r, doc_id and lines (array of line numbers) to remove from rows (r, doc_id, text)."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    packed = scratch.keep(emitted(docs, buckets_for(docs), id_bits), "packed")
     where = scratch.keep(places(packed), "places")
+    place = F.struct("doc_id", "r", "line")
+    kinds = scratch.keep(where.groupBy("id", "check").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "kinds")
+    names = Names(kinds, scratch)
+    members = scratch.keep(names.members(members_of(packed)), "members")
     scratch.drop(packed)
-    scratch.release()
     size = members.groupBy("key").agg(F.count_distinct("id").alias("n")).where("n > 2").select("key")
     large = members.join(size, "key", "left_semi").select("key", "id").distinct()
-    roots = link_members(members, large, lambda ids: contents(docs, ids), percent, scratch, open_lines, 1)
+    roots = link_members(members, large, lambda ids: names.sets(docs, ids, id_bits), percent, scratch, open_lines, 1)
     scratch.drop(members)
-    scratch.release()
-    place = F.struct("doc_id", "r", "line")
-    kinds = where.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    kinds = scratch.keep(kinds, "kinds")
-    firsts = kinds.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1").select("root", "keep")
-    of = kinds.select("id", "root").join(firsts, "root").select("id", "keep")
-    gone = where.join(of, "id").where(~place.eqNullSafe(F.col("keep"))).select("r", "line")
-    out = scratch.keep(gone.groupBy("r").agg(F.collect_set("line").alias("lines")), "gone")
-    scratch.drop(where, kinds)
-    scratch.release()
+    known = names.named(kinds.select("id", "check", F.col("id").alias("line_id"), F.col("check").alias("line_check"), "n", "first"))
+    known = known.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = scratch.keep(known.select("root", "line_id", "line_check", "n", "first"), "rooted")
+    firsts = known.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1").select("root", "keep")
+    of = known.join(firsts, "root").select(F.col("line_id").alias("id"), F.col("line_check").alias("check"), "keep")
+    gone = where.join(of, ["id", "check"]).where(~place.eqNullSafe(F.col("keep"))).select("r", "doc_id", "line")
+    out = scratch.keep(gone.groupBy("r", "doc_id").agg(F.collect_set("line").alias("lines")), "gone")
+    scratch.drop(where, kinds, known)
     return out
 
 
-def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def line_dedup(docs: DataFrame, percent: int = PERCENT, id_bits: int = 64) -> DataFrame:
     """All columns of documents, with the text that is left, and n_lines, n_removed (with __ before, where there is such a
     column already)."""
     names = docs.columns
-    row = F.xxhash64("text", "doc_id")
-    gone = line_spans(docs.select(row.alias("r"), "doc_id", "text"), percent)
+    row = F.xxhash64("text")
+    gone = line_spans(docs.select(row.alias("r"), "doc_id", "text"), percent, id_bits)
     rows = docs.select(*names, row.alias("__row"))
-    joined = rows.join(gone.select(F.col("r").alias("__gone_row"), F.col("lines").alias("__lines")), F.col("__row") == F.col("__gone_row"), "left").select(*names, "__lines")
+    gone = gone.select(F.col("r").alias("__gone_row"), F.col("doc_id").alias("__gone_id"), F.col("lines").alias("__lines"))
+    joined = rows.join(gone, (F.col("__row") == F.col("__gone_row")) & rows["doc_id"].eqNullSafe(F.col("__gone_id")), "left").select(*names, "__lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")

@@ -3,7 +3,8 @@
 Two nodes are candidates where they share a key. In each key's bucket every member is compared with the bucket's
 least id. Where that leaves several components in a bucket of three or more, all its pairs of different components
 are compared too, block by block inside tasks that give back links alone. So no link between candidates is
-lost, no pairs within a bucket are written out, and what a task holds is bounded by BLOCK_SHINGLES.
+lost, no pairs within a bucket are written out, and what a task holds is some BLOCK_SHINGLES. Members are dealt into blocks
+by hashes, from sums that are combined before they are shuffled: no task sees a whole bucket.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .base import Scratch
 from .components import components
@@ -40,14 +40,12 @@ def pick(df: DataFrame, ids: DataFrame, on: str = "id", how: str = "left_semi")
 
 
 Opened = Callable[[pa.Array], list[np.ndarray]]
+#: Of two sets as they are shipped: whether they are similar, without hashes.
+Exact = Callable[[bytes, bytes], bool]
 
 
-def open_numbers(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, opened: Opened = open_numbers) -> DataFrame:
-    """Pairs u, v whose sets are similar."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, opened: Opened, exact: Exact | None = None) -> DataFrame:
+    """Pairs u, v whose sets are similar; of those that are by their numbers, exact has the last word."""
     a = sets.select(F.col("id").alias("u"), F.col("set").alias("a"))
     b = sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
 
@@ -63,14 +61,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, opened: Opened = o
                 both = pa.concat_arrays([part.column("a"), part.column("b")]).dictionary_encode()
                 held = opened(both.dictionary)
                 p, q = both.indices.to_numpy().reshape(2, -1).tolist()
-                keep = [similar(held[i], held[j], percent) for i, j in zip(p, q)]
+                keep = [similar(held[i], held[j], percent) and (exact is None or exact(both.dictionary[i].as_py(), both.dictionary[j].as_py())) for i, j in zip(p, q)]
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def links(sets: list[np.ndarray], root: list[int], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets of different roots; sets of one root count as linked already."""
+def links(sets: list[np.ndarray], root: list[int], percent: int, exact: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different roots; sets of one root count as linked already. exact: whether sets
+    of these places are similar, asked of those that are by their numbers."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -102,13 +101,25 @@ def links(sets: list[np.ndarray], root: list[int], percent: int) -> list[tuple[i
     out = []
     for i, j in zip(*(k.tolist() for k in np.nonzero(np.triu(ok, 1)))):
         a, b = find(root[i]), find(root[j])
-        if a != b:
+        if a != b and (exact is None or exact(i, j)):
             parent[max(a, b)] = min(a, b)
             out.append((i, j))
     return out
 
 
-def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, opened: Opened, unit: int) -> DataFrame:
+def _dealt(m: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, id, root and block of members (key, id, root, size). The members of a large root have blocks of their own, those of
+    small ones are together, a root in one block."""
+    per = scratch.keep(m.groupBy("key", "root").agg(F.sum(F.col("size") + SET_LEAST).alias("w")), "weights")
+    small = per.where(F.col("w") <= BLOCK_SHINGLES).groupBy("key").agg(F.ceil(F.sum("w") / BLOCK_SHINGLES).alias("pools"))
+    per = scratch.keep(per.join(small, "key", "left"), "dealt")
+    joined = m.join(per, ["key", "root"])
+    own = F.xxhash64("root", F.pmod(F.xxhash64("id"), F.ceil(F.col("w") / BLOCK_SHINGLES)))
+    pool = F.pmod(F.xxhash64("root"), F.col("pools"))
+    return joined.select("key", "id", "root", F.when(F.col("w") > BLOCK_SHINGLES, own).otherwise(pool).alias("block"))
+
+
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, opened: Opened, unit: int, exact: Exact | None) -> DataFrame:
     """Links in buckets of several components."""
     m = members.select("key", "id").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     m = scratch.keep(m, "large")
@@ -116,10 +127,8 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     # Buckets of equal members are looked at once.
     mixed = mixed.where("lo <> hi").groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key")
     sized = sets.select("id", (F.octet_length("set") / unit).cast("bigint").alias("size"))
-    m = m.join(mixed, "key").join(sized, "id")
-    run_size = F.sum(F.col("size") + SET_LEAST).over(W.partitionBy("key").orderBy("root", "id"))
-    m = scratch.keep(m.select("key", "id", "root", F.floor(run_size / BLOCK_SHINGLES).cast("int").alias("block")), "mixed")
-    blocks = m.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    m = scratch.keep(_dealt(scratch.keep(m.join(mixed, "key").join(sized, "id"), "sized"), scratch), "mixed")
+    blocks = scratch.keep(m.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "blocks")
     a, b = (blocks.select(F.col("key").alias(f"{s}k"), F.col("block").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi")) for s in "ab")
     two = a.join(b, (F.col("ak") == F.col("bk")) & (F.col("a") <= F.col("b"))).where("not (alo = ahi and blo = bhi and alo = blo)")
     tasks = two.select(F.col("ak").alias("key"), "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
@@ -127,32 +136,34 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
 
     def run(table: pa.Table) -> pa.Table:
         ids, root = table.column("id").to_pylist(), table.column("root").to_pylist()
-        held = opened(table.column("set").combine_chunks())
-        found = [(ids[i], ids[j]) for i, j in links(held, root, percent)]
+        shipped = table.column("set").combine_chunks()
+        same = (lambda i, j: exact(shipped[i].as_py(), shipped[j].as_py())) if exact else None
+        found = [(ids[i], ids[j]) for i, j in links(opened(shipped), root, percent, same)]
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
     return rows.groupBy("key", "a", "b").applyInArrow(run, "u bigint, v bigint")
 
 
-def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
-    """id and root of every linked node that is not itself a root. nodes: id, keys (array<bigint>), ids without repetition.
-    sets_of: from a table of ids to id, set (binary of sorted unsigned 64-bit numbers)."""
+def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, opened: Opened, unit: int, exact: Exact | None = None) -> DataFrame:
+    """id and root of every linked node that is not itself a root. nodes: id, keys (array<bigint>), ids without repetition; the
+    rest as for link_members."""
     b = nodes.select("id", F.explode("keys").alias("key"))
     shared = b.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    members = scratch.keep(b.join(shared, "key"), "members")
-    out = link_members(members, members.where("n > 2"), sets_of, percent, scratch)
+    members = scratch.keep(b.join(scratch.keep(shared, "shared"), "key"), "members")
+    out = link_members(members, members.where("n > 2"), sets_of, percent, scratch, opened, unit, exact)
     scratch.drop(members)
     return out
 
 
-def link_members(members: DataFrame, large: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, opened: Opened = open_numbers, unit: int = 8) -> DataFrame:
+def link_members(members: DataFrame, large: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, opened: Opened, unit: int, exact: Exact | None = None) -> DataFrame:
     """The same from members (key, id, pivot) of buckets; large has key, id of those of three members or more, once each.
-    opened makes sorted distinct numbers of a column of sets; unit: bytes of a set for each of its numbers."""
+    sets_of: from a table of ids to id, set (binary). opened makes sorted distinct numbers of a column of sets; unit: bytes of a set
+    for each of its numbers."""
     pairs = members.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
     sets = scratch.keep(sets_of(members.select("id").distinct()), "sets")
-    first = scratch.keep(verified(pairs, sets, percent, opened), "first")
+    first = scratch.keep(verified(scratch.keep(pairs, "pairs"), sets, percent, opened, exact), "first")
     labels = components(first, scratch)
-    second = scratch.keep(_rest(large, labels, sets, percent, scratch, opened, unit), "second")
+    second = scratch.keep(_rest(large, labels, sets, percent, scratch, opened, unit, exact), "second")
     out = components(first.union(second), scratch)
     scratch.drop(sets)
     return out

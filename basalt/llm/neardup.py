@@ -1,8 +1,9 @@
 """Near duplicates of documents by circulant MinHash.
 
 Two permutations make all coordinates of a signature: one scatters the shingles, the other is shifted circularly by one
-more place for each coordinate. Bands of the signature give candidates; links are confirmed on full shingle sets.
-Equal sets are one node from the start, so groups of exact copies never meet in a bucket.
+more place for each coordinate. Bands of the signature give candidates; links are confirmed on full shingle sets, first of
+shingles' hashes, then of their words. Equal sets are one node from the start, so groups of exact copies never meet in a bucket; they are
+known by 128 bits of a digest of their shingles' hashes.
 
 A pair at the threshold of 0.8 shares none of BANDS bands of ROWS coordinates with a chance of (1 - 0.8^4)^24 = 3e-6.
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Scratch, table, text_slices
+from .base import Scratch, sub_batches, table, text_slices
 from .components import components
 from .linking import link, pick
 from .shingles import band_keys, signatures, word_shingles
@@ -45,30 +46,60 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, keys array<bigint>")
 
 
-def sets_of(docs: DataFrame, words: int):
+def lowered(text: str | None) -> bytes:
+    """The words of a text, A-Z lower-cased, joined by a space."""
+    return b" ".join((text or "").encode().lower().split())
+
+
+def sets_of(docs: DataFrame):
+    """Of ids: id and set, the words of its text, of which shingles are made where they are compared. An id may have several."""
+
     def make(ids: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b, buf, off in text_slices(batch.column("text")):
-                    values, at = word_shingles(buf, off, words)
-                    raw = values.tobytes()
-                    sets = [raw[8 * i : 8 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sets, pa.binary())], names=["id", "set"])
+                for part in sub_batches(batch, "text"):
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([lowered(t) for t in part.column("text").to_pylist()], pa.binary())], names=["id", "set"])
 
         return pick(docs.select("doc_id", "text"), ids, "doc_id").mapInArrow(run, "id bigint, set binary")
 
     return make
 
 
+def opener(words: int):
+    def opened(column: pa.Array) -> list[np.ndarray]:
+        out = []
+        for _, _, buf, off in text_slices(column):
+            values, at = word_shingles(buf, off, words)
+            out += [values[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+        return out
+
+    return opened
+
+
+def by_words(words: int, percent: int):
+    """Whether two texts of `lowered` are similar by their shingles' words."""
+
+    def shingles(x: bytes) -> set[tuple[bytes, ...]]:
+        w = x.split()
+        return set(zip(*(w[k:] for k in range(words)))) if len(w) >= words else {tuple(w)} if w else set()
+
+    def exact(x: bytes, y: bytes) -> bool:
+        a, b = shingles(x), shingles(y)
+        both = len(a & b)
+        return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+    return exact
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable), kept (doc_id = component_id), a row for each row."""
     scratch = Scratch(docs.sparkSession, "near")
     all_ = scratch.keep(signed(docs, words, bands, rows), "signed")
     real = all_.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.keep(classes, "classes")
-    nodes = real.join(classes, ["h1", "h2"]).where("doc_id = rep").groupBy("rep", "h1", "h2").agg(F.first("keys").alias("keys")).select(F.col("rep").alias("id"), "keys")
-    roots = link(nodes, sets_of(docs, words), percent, scratch)
+    # Equal sets have equal keys.
+    nodes = scratch.keep(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "nodes")
+    classes = nodes.select("h1", "h2", "rep")
+    roots = link(nodes.select(F.col("rep").alias("id"), "keys"), sets_of(docs), percent, scratch, opener(words), 6, by_words(words, percent))
     # Texts of one doc_id are one document: their classes are linked, and texts without shingles go with them.
     of = real.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep")
     least = of.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id", "lo")
@@ -81,8 +112,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, ban
     out = out.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")))
     if bare.limit(1).count():
         out = out.join(bare, "doc_id", "left").withColumn("rep", F.coalesce("rep", "other"))
-    found = classes.select(F.col("rep").alias("id")).distinct().join(roots, "id")
-    out = out.join(found, F.col("rep") == F.col("id"), "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))
+    out = out.join(roots, F.col("rep") == F.col("id"), "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

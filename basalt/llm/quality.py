@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .base import table, text_slices
 from .labelled import MOST_FITTED, Adam, remainder, sample, sigmoid
-from .words import LOWER, range_hashes, words
+from .words import LOWER, hashes, words
 
 MODULUS, HELD_OUT, GOOD = 4, 2, 0.7
 PASSAGE_BYTES = 2048
@@ -75,7 +75,7 @@ def describe(buf: np.ndarray, starts: np.ndarray, off: np.ndarray) -> np.ndarray
     of = np.searchsorted(starts[:-1], ws, "right") - 1
     count = np.bincount(of, minlength=n)[:n] if n else np.zeros(0)
     per = np.maximum(count, 1)
-    h = range_hashes(LOWER[buf], ws, we)
+    h = hashes(LOWER[buf], ws, we)
     same = np.zeros(len(ws))
     same[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
     if len(ws):

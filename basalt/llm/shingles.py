@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from .words import LOWER, MIX1, MIX2, mix, range_hashes, words
+from .words import LOWER, MIX1, MIX2, hashes, join, mix, runs, words
 
-PAIR_BASE = 0xC2B2AE3D27D4EB4F
 #: Shingles whose signatures are computed at once, to stay in a core's cache.
 CHUNK = 1 << 15
 
@@ -26,13 +25,21 @@ def distinct(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def word_shingles(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-word shingles of each text, A-Z lower-cased; texts of fewer words have their whole sequence as one."""
     start, end, at = words(buf, off)
-    h = range_hashes(LOWER[buf], start, end)
+    h = hashes(LOWER[buf], start, end)
     count = np.diff(at)
     made = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     bounds = np.cumsum(np.concatenate(([0], made)))
     first = np.arange(bounds[-1]) + np.repeat(at[:-1] - bounds[:-1], made)
-    last = first + np.repeat(np.minimum(count, n), made)
-    return distinct(range_hashes(h, first, last, PAIR_BASE), bounds)
+    whole = np.repeat(count >= n, made)
+    out = np.empty(len(first), np.uint64)
+    out[whole] = runs(h, n)[first[whole]]
+    short = np.flatnonzero((count > 0) & (count < n))
+    some = h[at[short]]
+    for k in range(1, n - 1):
+        more = count[short] > k
+        some[more] = join(some[more], h[at[short][more] + k])
+    out[~whole] = mix(some ^ count[short].astype(np.uint64))
+    return distinct(out, bounds)
 
 
 def signatures(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:

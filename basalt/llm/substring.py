@@ -5,8 +5,12 @@ reference, automata of all shards cannot be sent to all documents: they grow wit
 the one shard that can hold its like. Every window has an anchor, the least hash of its runs of ANCHOR words; equal windows
 have equal anchors. Consecutive windows of one anchor are a fragment. Anchors that occur once end here. Equal
 fragments are counted, not compared: their windows occur elsewhere. The fragments of an anchor with several different ones
-are a shard: their automaton, with the fragments' counts, is built in the task and they are streamed through it. An
-anchor with more than SHARD_WORDS words of different fragments is dealt out again by whole windows.
+are a shard: their automaton over the words themselves, with the fragments' counts, is built in the task and they are streamed
+through it. An anchor with more than SHARD_WORDS words of different fragments is dealt out again by whole windows.
+
+Fragments are known by 128 bits, the anchor's and their own, of two hashes of each word that have nothing to do with each other;
+windows that are dealt out by two such hashes too. Two windows are taken for one by mistake with a chance of 2^-128 a pair, or
+2^-64 a pair of fragments that do share their anchor's words.
 
 `against` broadcasts automata of a given reference of bounded size.
 
@@ -21,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton, covered
-from .base import Scratch, table, text_slices
+from .base import Scratch, buckets_for, table, text_slices
 from .linking import pick
-from .words import mix, range_hashes, words
+from .words import MIX1, hashes, mix, runs, words
 
 WINDOW, ANCHOR = 35, 10
 SHARD_WORDS = 1 << 14
@@ -35,21 +39,22 @@ SHARD_WORDS = 1 << 14
 AUTOMATON_WORDS = 1 << 15
 #: The most words of a reference whose automata are broadcast.
 MOST_REFERENCE = 1 << 21
-FRAGMENT_BASE, ANCHOR_BASE, WINDOW_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+#: The seed of the other hash of a word.
+OTHER = 0x2545F491
+#: Words of fragments whose hashes are made at once.
+AT_ONCE = 1 << 19
 
 
 def fragments(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """Of many texts: each fragment's anchor, hash, text, first word (in its text), number of words, and whether its anchor
     occurs in it twice, so that it may repeat a window itself."""
     start, end, at = words(buf, off)
-    h = range_hashes(buf, start, end)
-    n = len(h)
+    n = len(start)
     none = np.zeros(0, np.int64)
     empty = (none.astype(np.uint64), none.astype(np.uint64), none, none, none, none.astype(bool))
     if n < window:
         return empty
-    first = np.arange(n - anchor + 1)
-    grams = least = range_hashes(h, first, first + anchor, ANCHOR_BASE)
+    grams = least = runs(hashes(buf, start, end), anchor)
     width, done = window - anchor + 1, 1
     while done < width:  # minima over 1, 2, 4 ... neighbours, then the rest
         step = min(done, width - done)
@@ -66,37 +71,61 @@ def fragments(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, anchor: in
     size = b - a - anchor + 1
     bounds = np.cumsum(size) - size
     same = grams[np.arange(size.sum()) + np.repeat(a - bounds, size)] == np.repeat(m[k], size)
-    return m[k], range_hashes(h, a, b, FRAGMENT_BASE), doc[a], a - at[:-1][doc[a]], b - a, np.add.reduceat(same, bounds, dtype=np.int64) > 1
+    return m[k], _digests(hashes(buf, start, end, OTHER), a, b), doc[a], a - at[:-1][doc[a]], b - a, np.add.reduceat(same, bounds, dtype=np.int64) > 1
+
+
+def _digests(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of h[a:b] for each pair of places, from each word's hash mixed with its place."""
+    out, size = np.empty(len(a), np.uint64), b - a
+    total = np.cumsum(size)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + AT_ONCE)))
+        n = size[i:j]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        out[i:j] = np.add.reduceat(mix(h[place + np.repeat(a[i:j], n)] + place.astype(np.uint64) * MIX1), first)
+        i = j
+    return out
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every fragment of documents (r, text): anchor a, hash f, row r, first word s, number of words k, and again: whether
-    its anchor occurs in it twice."""
+    """Every fragment of documents (r, d, text): anchor a, hash f, the row's r and d, and p: first word, number of words
+    and, in the lowest bit, whether its anchor occurs in it twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r = batch.column("r").to_numpy()
             for i, _, buf, off in text_slices(batch.column("text")):
                 a, f, doc, s, k, again = fragments(buf, off)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(f.view(np.int64)), pa.array(r[i + doc]), pa.array(s), pa.array(k), pa.array(again)], names=["a", "f", "r", "s", "k", "again"])
+                row = pa.array(i + doc)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(f.view(np.int64)), pa.array(r[i + doc]), batch.column("d").take(row), pa.array(s << 32 | k << 1 | again)], names=["a", "f", "r", "d", "p"])
+
+    return docs.select("r", "d", "text").mapInArrow(run, "a bigint, f bigint, r bigint, d bigint, p bigint")
+
 
-    return docs.select("r", "text").mapInArrow(run, "a bigint, f bigint, r bigint, s bigint, k bigint, again boolean")
+def _first(p: str) -> Column:
+    return F.shiftright(p, 32)
+
+
+def _count(p: str) -> Column:
+    return F.shiftright(F.col(p).bitwiseAND(0xFFFFFFFF), 1)
 
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words, as 64-bit hashes, of fragments (a, f, n, heavy, r, s, k) found at word s of row r."""
-    lists = wanted.groupBy("r").agg(F.collect_list(F.struct("a", "f", "n", "heavy", "s", "k")).alias("want"))
-    found = pick(docs, wanted.select("r").distinct(), "r").join(lists, "r").select("text", "want")
+    """The words of fragments (a, f, n, heavy, r, d, s, k) found at word s of row r, d."""
+    lists = wanted.groupBy("r", "d").agg(F.collect_list(F.struct("a", "f", "n", "heavy", "s", "k")).alias("want"))
+    lists = lists.select(F.col("r").alias("__r"), F.col("d").alias("__d"), "want")
+    found = pick(docs, wanted.select("r").distinct(), "r").join(lists, (F.col("r") == F.col("__r")) & F.col("d").eqNullSafe(F.col("__d"))).select("text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want = batch.column("want").to_pylist()
             for i, j, buf, off in text_slices(batch.column("text")):
                 start, end, at = words(buf, off)
-                h = range_hashes(buf, start, end)
-                rows = []
+                raw, rows = buf.tobytes(), []
                 for d, base in zip(range(i, j), at[:-1].tolist()):
-                    rows += [(x["a"], x["f"], x["n"], x["heavy"], h[base + x["s"] : base + x["s"] + x["k"]].tobytes()) for x in want[d]]
+                    rows += [(x["a"], x["f"], x["n"], x["heavy"], raw[start[base + x["s"]] : end[base + x["s"] + x["k"] - 1]]) for x in want[d]]
                 if rows:
                     cols = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["a", "f", "n", "heavy", "words"])
@@ -110,7 +139,7 @@ def _shards(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def solve(held: list[tuple]) -> Iterator[tuple]:
         automaton = SuffixAutomaton()
-        sequences = [np.frombuffer(x[3], np.uint64).tolist() for x in held]
+        sequences = [x[3].split() for x in held]
         for x, q in zip(held, sequences):
             automaton.add(q, x[2])
         for x, q in zip(held, sequences):
@@ -133,19 +162,20 @@ def _shards(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                     held, size = [], 0
                 last = row[0]
                 held.append(row)
-                size += len(row[3]) // 8
+                size += row[3].count(b" ") + 1
         if held:
             yield out()
 
     return rows.select("a", "f", "n", "words").repartition("a").sortWithinPartitions("a", "f").mapInArrow(run, "a bigint, f bigint, o bigint, l bigint")
 
 
-def _pieces(kind: int, to: np.ndarray, buckets: int, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
+def _pieces(kind: int, to: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Columns of 64-bit numbers dealt into buckets: kind, bucket, bytes."""
     order = np.argsort(to, kind="stable")
-    cut = np.searchsorted(to[order], np.arange(buckets + 1))
+    to = to[order]
+    cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))).tolist() if len(to) else [0]
     table = np.stack([c.view(np.int64)[order] for c in columns])
-    return [(kind, q, table[:, i:j].tobytes()) for q, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if i < j]
+    return [(kind, int(to[i]), table[:, i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
 
 
 def _piece_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -167,6 +197,11 @@ def _each_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np
         yield np.concatenate(held, axis=1)
 
 
+def _firsts(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where a new pair begins, of pairs in order."""
+    return np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1]))))
+
+
 def _by_windows(rows: DataFrame, scratch: Scratch, buckets: int, window: int = WINDOW) -> DataFrame:
     """The same for anchors too heavy for one task: windows are dealt out each by itself, in packed pieces.
 
@@ -178,29 +213,29 @@ def _by_windows(rows: DataFrame, scratch: Scratch, buckets: int, window: int = W
             if not batch.num_rows:
                 continue
             a, f, n = (batch.column(c).to_numpy() for c in ("a", "f", "n"))
-            held = [np.frombuffer(w, np.uint64) for w in batch.column("words").to_pylist()]
-            count = np.array([len(h) - window + 1 for h in held])
-            at = np.cumsum([0, *map(len, held)])[:-1]
-            g = np.repeat(np.arange(len(held)), count)
-            o = np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
-            i = at[g] + o
-            key = mix(range_hashes(np.concatenate(held), i, i + window, WINDOW_BASE) ^ a.view(np.uint64)[g])
-            order = np.argsort(key, kind="stable")
-            key, g, o = key[order], g[order], o[order]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            _, _, buf, off = next(text_slices(batch.column("words"), 1 << 62))
+            start, end, at = words(buf, off)
+            count = np.diff(at) - window + 1
+            g = np.repeat(np.arange(len(count)), count)
+            i = at[:-1][g] + np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
+            o = i - at[:-1][g]
+            key, check = (runs(hashes(buf, start, end, seed), window)[i] for seed in (0, OTHER))
+            order = np.lexsort((check, key))
+            key, check, g, o = key[order], check[order], g[order], o[order]
+            first = _firsts(key, check)
             total = np.add.reduceat(n[g], first)
             hit = (np.repeat(total, np.diff(np.concatenate((first, [len(key)])))) > 1) & (n[g] == 1)
-            out = _pieces(0, f[g[hit]] % buckets, buckets, a[g[hit]], f[g[hit]], o[hit])
-            out += _pieces(1, (key[first] % np.uint64(buckets)).astype(np.int64), buckets, key[first], np.minimum(total, 2), a[g[first]], f[g[first]], o[first])
+            out = _pieces(0, f[g[hit]] % buckets, a[g[hit]], f[g[hit]], o[hit])
+            out += _pieces(1, (key[first] % np.uint64(buckets)).astype(np.int64), key[first], check[first], np.minimum(total, 2), a[g[first]], f[g[first]], o[first])
             yield _piece_rows(out)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, weight, a, f, o in _each_bucket(batches, 5):
-            order = np.argsort(key, kind="stable")
-            key, weight, a, f, o = (x[order] for x in (key, weight, a, f, o))
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for key, check, weight, a, f, o in _each_bucket(batches, 6):
+            order = np.lexsort((check, key))
+            key, check, weight, a, f, o = (x[order] for x in (key, check, weight, a, f, o))
+            first = _firsts(key, check)
             hit = (np.repeat(np.add.reduceat(weight, first), np.diff(np.concatenate((first, [len(key)])))) > 1) & (weight == 1)
-            yield _piece_rows(_pieces(0, f[hit] % buckets, buckets, a[hit], f[hit], o[hit]))
+            yield _piece_rows(_pieces(0, f[hit] % buckets, a[hit], f[hit], o[hit]))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _each_bucket(batches, 3):
@@ -220,24 +255,21 @@ def _by_windows(rows: DataFrame, scratch: Scratch, buckets: int, window: int = W
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """r and spans (array of start and number of words) of every row (r, text) with words to remove."""
-    occ = occurrences(docs)
-    one = occ.groupBy("a", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r", "s", "k", "again")).alias("at"))
-    one = one.select("a", "f", "n", F.col("at.again").alias("again"), F.col("at.r").alias("r"), F.col("at.s").alias("s"), F.col("at.k").alias("k"))
+    """r, d and spans (array of start and number of words) of every row (r, d, text) with words to remove."""
+    occ = scratch.keep(occurrences(docs), "occurrences")
+    one = occ.groupBy("a", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r", "d", "p")).alias("at"))
+    one = one.select("a", "f", "n", "at.r", "at.d", "at.p", _count("at.p").alias("k"), (F.col("at.p") % 2 == 1).alias("again"))
     per = one.groupBy("a").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("size"), F.max("again").alias("any")).where("total > 1 or any")
     known = scratch.keep(one.join(per.select("a", "kinds", "size"), "a").withColumn("heavy", F.col("size") > SHARD_WORDS).drop("size"), "repeated")
-    scratch.release()
-    wanted = known.where("kinds > 1 or (n = 1 and again)").select("a", "f", "n", "heavy", "r", "s", "k")
+    wanted = known.where("kinds > 1 or (n = 1 and again)").select("a", "f", "n", "heavy", "r", "d", _first("p").alias("s"), "k")
     held = scratch.keep(_contents(docs, wanted).dropDuplicates(["a", "f"]), "contents")
     whole = known.where("n > 1").select("a", "f", F.lit(0).cast("bigint").alias("o"), F.col("k").alias("l"))
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = whole.union(_shards(held.where("not heavy"))).union(_by_windows(held.where("heavy"), scratch, buckets))
+    found = whole.union(_shards(held.where("not heavy"))).union(_by_windows(held.where("heavy"), scratch, buckets_for(docs)))
     found = scratch.keep(found, "found")
     scratch.drop(known, held)
-    spans = occ.select("a", "f", "r", "s").join(found, ["a", "f"]).select("r", F.struct((F.col("s") + F.col("o")).alias("s"), F.col("l").alias("l")).alias("x"))
-    out = scratch.keep(spans.groupBy("r").agg(F.collect_set("x").alias("spans")), "spans")
-    scratch.drop(found)
-    scratch.release()
+    spans = occ.join(found, ["a", "f"]).select("r", "d", F.struct((_first("p") + F.col("o")).alias("s"), F.col("l").alias("l")).alias("x"))
+    out = scratch.keep(spans.groupBy("r", "d").agg(F.collect_set("x").alias("spans")), "spans")
+    scratch.drop(found, occ)
     return out
 
 
@@ -257,9 +289,9 @@ def removed(text: str, spans: list[dict] | None) -> tuple[int, int, bytes]:
 def substring_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept text (or its SHA-256) of every row of documents."""
     scratch = Scratch(docs.sparkSession, "substring")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("r", F.xxhash64("text", "doc_id"))
-    spans = repeated_spans(rows.select("r", "text"), scratch)
-    joined = rows.join(spans, "r", "left").select("doc_id", "text", "spans")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("r", F.xxhash64("text"))
+    spans = repeated_spans(rows.select("r", F.col("doc_id").alias("d"), "text"), scratch).withColumnRenamed("r", "__r")
+    joined = rows.join(spans, (F.col("r") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "spans")
     name = "kept_sha256" if digest else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .base import table, text_slices
 from .labelled import MOST_FITTED, Adam, remainder, sample, sigmoid
-from .words import LETTER, LOWER, MIX1, MIX2, mix, range_hashes, spans
+from .words import LETTER, LOWER, MIX1, MIX2, hashes, mix, spans
 
 MODULUS, HELD_OUT = 5, 0
 #: Words with a weight of their own: the significant ones, and so many of the most frequent; others share one.
@@ -40,7 +40,7 @@ PAIRS = 1 << 17
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, starts, ends, offsets of each text's words."""
     start, end, at = spans(LETTER[buf], off)
-    return range_hashes(LOWER[buf], start, end), start, end, at
+    return hashes(LOWER[buf], start, end), start, end, at
 
 
 def passes(u: np.ndarray, at: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

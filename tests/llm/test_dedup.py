@@ -237,3 +237,57 @@ def test_lines_of_a_buffer():
 @pytest.mark.parametrize("name", ["op1_lines", "op2_substring", "op3_minhash"])
 def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
+
+
+def thue_morse(n):
+    """A word of n bytes and its complement; sums of their bytes' multiples by powers are equal modulo 2^64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 8192])
+def test_words_built_to_collide(spark, tmp_path, size):
+    from .conftest import write
+
+    x, y = thue_morse(size)
+    rest = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, x), (2, y), (3, f"{x} {rest}"), (4, f"{y} {rest}")]
+    write(spark, str(tmp_path), "documents", rows, "doc_id bigint, text string")
+    found = QUERIES["op2_substring"](spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == removed_brute(rows, 35)
+    assert not any(r["n_removed"] for r in found)
+    found = QUERIES["op3_minhash"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == near_brute(rows, 2)
+
+
+def test_links_are_confirmed_by_words():
+    same = neardup.by_words(2, 80)
+    assert same(b"a b c", b"a b c") and not same(b"a b c", b"a b d") and not same(b"", b"") and same(b"a", b"a") and not same(b"a", b"b")
+    import numpy as np
+
+    sets = [np.array([1, 2], np.uint64)] * 3
+    assert linking.links(sets, [0, 1, 2], 80) == [(0, 1), (0, 2)]
+    assert linking.links(sets, [0, 1, 2], 80, lambda i, j: i > 0) == [(1, 2)]
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_lines_whose_ids_collide(spark, rows, bits):
+    few = [x for x in rows if x[1] is None or len(x[1]) < 2000][::2]
+    found = lines.line_dedup(spark.createDataFrame(few, "doc_id bigint, text string"), id_bits=bits).collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_removed"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in found) == line_brute(few)
+
+
+def test_long_lines_are_cut_without_a_trace(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    raw = [bytes(rng.choice(b"abcd ") for _ in range(n)) for n in (3, 5, 700, 64, 68, 1)]
+    low = np.frombuffer(b"".join(raw) + b"\xff" * 8, np.uint8)
+    end = np.cumsum([len(x) for x in raw])
+    start = end - [len(x) for x in raw]
+    want = lines.bin_minima(low, start, end, 48), lines.open_lines(pa.array(raw, pa.binary()))
+    monkeypatch.setattr(lines, "PART", 32)
+    monkeypatch.setattr(lines, "SLICE", 100)
+    assert (lines.bin_minima(low, start, end, 48) == want[0]).all()
+    assert all((a == b).all() for a, b in zip(lines.open_lines(pa.array(raw, pa.binary())), want[1], strict=True))
