@@ -147,7 +147,8 @@ def test_against_a_reference(spark):
     assert found == {1: "before after", 2: "nothing here", 3: ""}
 
 
-def line_brute(rows):
+def line_kept(rows):
+    """doc_id, text, its lines and those that are kept, of every row."""
     sets, first = {}, {}
     keyed = sorted({(i is not None, i or 0, t): None for i, t in rows if t is not None}, key=lambda x: x[:2])
     for known, i, t in keyed:
@@ -163,12 +164,13 @@ def line_brute(rows):
     keep = {}
     for x in sets:
         keep[u.find(x)] = min(keep.get(u.find(x), (True, 1 << 60, 0)), first[x])
-    out = []
     for i, t in rows:
         ls = [] if t is None else t.split("\n")
-        kept = [x for k, x in enumerate(ls) if not lines.normal(x) or keep[u.find(lines.normal(x))] == (i is not None, i or 0, k)]
-        out.append((i, len(ls), len(ls) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    return Counter(out)
+        yield i, t, ls, [x for k, x in enumerate(ls) if not lines.normal(x) or keep[u.find(lines.normal(x))] == (i is not None, i or 0, k)]
+
+
+def line_brute(rows):
+    return Counter((i, len(ls), len(ls) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()) for i, _, ls, kept in line_kept(rows))
 
 
 def test_lines(spark, folder, rows):

@@ -1,6 +1,7 @@
 """The pipeline's stages, each on its own input, against brute force; and their chain."""
 
 import hashlib
+import random
 from collections import Counter
 
 import duckdb
@@ -8,10 +9,12 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from basalt.llm import base, bpe, lines, mixing, toxicity
+from basalt.llm import base, bpe, mixing, toxicity
 
-from .test_dedup import Union, near_brute
+from .conftest import write
+from .test_dedup import line_kept, near_brute
 
+SF = "/root/testdata/sf0.001"
 STAGES = dict(pipeline.STAGES)
 
 
@@ -36,46 +39,57 @@ def test_columns_stay(spark, docs, folder, empty, name):
     assert out.columns == none.columns and out.count() == 0
 
 
-def test_toxic_documents_go(spark, docs, folder, rows):
+def not_toxic(spark, docs, folder, rows):
     field = toxicity.train(docs, base.table(spark, folder, "labels"))
-    want = Counter()
-    for i, t in rows:
-        raw = (t or "").encode()
-        if field.tag(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][0] < 0.5:
-            want[i, t] += 1
-    assert _pairs(STAGES["toxicity"](spark, docs, folder)) == want
+    score = lambda raw: field.tag(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][0]
+    return [(i, t) for i, t in rows if score((t or "").encode()) < 0.5]
+
+
+def lines_gone(rows):
+    out = [(i, None if t is None else "\n".join(kept), len(ls) > len(kept)) for i, t, ls, kept in line_kept(rows)]
+    return [(i, t) for i, t, less in out if not (less and not t.split())]
+
+
+def near_gone(rows):
+    root = near_brute(rows, 5)
+    return [(i, t) for i, t in rows if i is None or root[i] == i]
+
+
+def test_toxic_documents_go(spark, docs, folder, rows):
+    assert _pairs(STAGES["toxicity"](spark, docs, folder)) == Counter(not_toxic(spark, docs, folder, rows))
 
 
 def test_lines_go(spark, docs, folder, rows):
-    sets, first = {}, {}
-    for i, t in rows:
-        for k, x in enumerate((t or "").split("\n")):
-            if x := lines.normal(x):
-                b = x.encode()
-                sets[x] = {b[j : j + 8] for j in range(max(1, len(b) - 7))}
-                first[x] = min(first.get(x, (True, 1 << 60, 0)), (i is not None, i or 0, k))
-    u = Union(sets)
-    names = list(sets)
-    for n, a in enumerate(names):
-        for b in names[:n]:
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                u.join(a, b)
-    keep = {}
-    for x in sets:
-        keep[u.find(x)] = min(keep.get(u.find(x), (True, 1 << 60, 0)), first[x])
-    want = Counter()
-    for i, t in rows:
-        kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not lines.normal(x) or keep[u.find(lines.normal(x))] == (i is not None, i or 0, k))
-        want[i, kept] += 1
     out = STAGES["line dedup"](spark, docs, folder)
-    assert _pairs(out) == want
+    want = lines_gone(rows)
+    assert _pairs(out) == Counter(want) and len(want) < len(rows)
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
 
 
 def test_one_of_each_group_stays(spark, docs, folder, rows):
-    root = near_brute(rows, 5)
-    want = Counter((i, t) for i, t in rows if i is None or root[i] == i)
-    assert _pairs(STAGES["near dedup"](spark, docs, folder)) == want
+    assert _pairs(STAGES["near dedup"](spark, docs, folder)) == Counter(near_gone(rows))
+
+
+def test_the_filters_one_after_another(spark, tmp_path):
+    """Toxicity, lines and near dedup on the documents of the smallest table, against brute force on what the stage before gave;
+    near copies that line dedup leaves are found."""
+    rng = random.Random(12)
+    rows = [(r["doc_id"], r["text"]) for r in base.table(spark, SF, "documents").select("doc_id", "text").orderBy("doc_id").collect() if len(r["text"] or "") < 3000]
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(3))
+    w = [word() for _ in range(120)]
+    # No line of the second is like one of the first, but most of their shingles are the same.
+    rows += [(10**6, "\n".join(" ".join(w[k : k + 12]) for k in range(0, 120, 12))), (10**6 + 1, "\n".join(" ".join(w[max(0, k - 6) : k + 6]) for k in range(0, 121, 12)))]
+    rows += [(10**6 + 2, rows[-1][1]), (10**6 + 3, rows[-1][1] + "\n\n")]
+    write(spark, str(tmp_path), "documents", rows, "doc_id bigint, text string")
+    base.table(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = base.table(spark, str(tmp_path), "documents")
+    want = not_toxic(spark, docs, str(tmp_path), rows)
+    for name, brute in (("toxicity", None), ("line dedup", lines_gone), ("near dedup", near_gone)):
+        docs = base.Scratch(spark, "chain").keep(STAGES[name](spark, docs, str(tmp_path)))
+        before, want = want, brute(want) if brute else want
+        assert _pairs(docs) == Counter(want), name
+        assert name == "toxicity" or len(want) < len(before), name
+    assert all(t is None or t.split() for i, t in want if dict(rows)[i] and dict(rows)[i].split())
 
 
 def test_mixing_counts(spark, docs, folder):
