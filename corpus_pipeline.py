@@ -1,8 +1,12 @@
 """From raw documents to tokens: five stages, each over all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and reread as the next one's docs. All but
-the last return the columns of docs. Texts may be null or empty in any stage; such documents are clean, are near duplicates
-of nothing, and have no tokens.
+the last return the columns of docs, whatever other columns and names these have.
+
+Texts may be null or empty in any stage; such documents are clean, are near duplicates of nothing, and have no tokens. A document whose
+every line goes in line dedup goes with them: it is a copy, not an empty document. Rows that repeat a doc_id and its text are one
+document in line dedup, which gives both rows the same text, and in near dedup; both are mixed and encoded. Rows without doc_id are kept by
+near dedup. Equal lines, and near duplicates, are ordered by doc_id: the least stays. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier line equals or nearly equals; n_chars is counted anew."""
-    out = lines.line_dedup(docs).select(*docs.columns)
+    """Documents without the lines that an earlier line equals or nearly equals; n_chars is counted anew. Documents that had lines and
+    have none left, or blank ones alone, are copies through and through and go."""
+    out = lines.line_dedup(docs)
+    emptied = (F.col(out.columns[-1]) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    out = out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
@@ -71,5 +78,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         scratch.drop(before)
-        scratch.release()
     return docs
