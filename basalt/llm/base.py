@@ -73,12 +73,15 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def buckets_for(df: DataFrame) -> int:
-    """How many buckets to deal what is made of df into: some of BUCKET_BYTES of df, by Spark's own estimate, and a few for each
-    partition at least."""
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of df by Spark's own estimate, from files' sizes; 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * partitions, min(size // BUCKET_BYTES, MOST_BUCKETS) if size < UNKNOWN_BYTES else 0)
+    return size if size < UNKNOWN_BYTES else 0
+
+
+def buckets_for(df: DataFrame) -> int:
+    """How many buckets to deal what is made of df into: some of BUCKET_BYTES of df, and a few for each partition at least."""
+    return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(input_bytes(df) // BUCKET_BYTES, MOST_BUCKETS))
 
 
 def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

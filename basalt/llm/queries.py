@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .fingerprint import ORACLE as FINGERPRINT_SQL
 from .fingerprint import op4_fingerprint
 from .lines import op1_lines
 from .mixing import ORACLE as MIXING_SQL
-from .mixing import op5_documents, op5_mixing
+from .mixing import op5_mixing
 from .neardup import ORACLE as NEAR_SQL
 from .neardup import op3_minhash
 from .quality import op9_quality
@@ -22,7 +23,6 @@ QUERIES = {
     "op2_substring": op2_substring,
     "op3_minhash": op3_minhash,
     "op4_fingerprint": op4_fingerprint,
-    "op5_documents": op5_documents,
     "op5_mixing": op5_mixing,
     "op6_webp": op6_webp,
     "op7_toxicity": op7_toxicity,
@@ -33,6 +33,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_substring": SUBSTRING_SQL,
     "op3_minhash": NEAR_SQL,
+    "op4_fingerprint": FINGERPRINT_SQL,
     "op5_mixing": MIXING_SQL,
     "op8_warc": WARC_SQL,
 }

@@ -312,18 +312,17 @@ def lanes(text):
     total = [0] * fingerprint.LANES
     for p in text.split("\n") if text else []:
         d = hashlib.sha256(p.encode()).hexdigest().encode()
-        h = xxhash.xxh64_intdigest(d, seed=42)
-        for g in range(fingerprint.LANES // 4):
-            x = xxhash.xxh64_intdigest(struct.pack("<q", g), seed=h)
-            for j in range(4):
-                v = (x >> 16 * j) & 0xFFFF
-                total[4 * g + j] += v - 65536 if v > 32767 else v
+        wide = "".join(hashlib.sha256(d + f"-{g}".encode()).hexdigest() for g in range(fingerprint.LANES // 16))
+        for k in range(fingerprint.LANES):
+            v = int(wide[4 * k : 4 * k + 4], 16)
+            total[k] += v - 65536 if v > 32767 else v
     return [x % (1 << 32) for x in total]
 
 
 def test_fingerprint_query(spark, folder, rows):
     found = QUERIES["op4_fingerprint"](spark, folder).collect()
-    ordered = sorted(((i is not None, i or 0, hashlib.sha256((t or "").encode()).hexdigest(), t or "") for i, t in rows))
+    tie = lambda t: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), seed=42)))[0]
+    ordered = sorted(((i is not None, i or 0, tie(t or ""), t or "") for i, t in rows))
     want = Counter()
     hexed = lambda v: "".join(f"{x:08x}" for x in v)
     for k, (known, i, _, t) in enumerate(ordered):
@@ -335,6 +334,51 @@ def test_fingerprint_query(spark, folder, rows):
     assert all(r["near_edited"] == 1 for r in found if r["fingerprint"] == r["edited_fingerprint"])
 
 
+def _fingerprints(spark, path, rows):
+    from .conftest import write
+
+    write(spark, path, "documents", rows, "doc_id bigint, text string")
+    found = QUERIES["op4_fingerprint"](spark, path).collect()
+    return Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found)
+
+
+@pytest.mark.parametrize(
+    "ids",
+    [[0], [-(1 << 63), -(1 << 63) + 1, -1, 0, (1 << 63) - 2, (1 << 63) - 1], [*range(400), 1 << 60], [3 * i for i in range(50)], [5] * 40 + [6], []],
+    ids=["one", "extreme", "sparse", "even", "repeated", "none"],
+)
+def test_the_next_document(spark, tmp_path, ids):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abé🙂 \n") for _ in range(rng.randrange(30)))) for i in ids]
+    if len(set(ids)) < len(ids):
+        rows = [(5, "same\ntext")] * 40 + [(6, "another")]
+    ordered = sorted(rows, key=lambda r: r[0])
+    want = []
+    for (i, t), (_, nxt) in zip(ordered, ordered[1:] + ordered[:1]):
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()))
+    rng.shuffle(rows)
+    assert _fingerprints(spark, str(tmp_path), rows) == Counter(want)
+
+
+def test_null_ids_are_spread(spark, tmp_path):
+    rows = [(None, f"{i:03d}{i:03d}") for i in range(300)] + [(1, "a"), (2, "b")]
+    found = _fingerprints(spark, str(tmp_path), rows)
+    assert sum(found.values()) == 302 and len({k[2] for k in found}) > 250
+
+
+def test_fingerprints_by_sql(spark, tmp_path):
+    from .conftest import write
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, "", "\n", "a\nb\na", "é\n🙂 x", "line\n" * rng.randrange(9)]) if i % 3 else f"only {i}") for i in range(60)]
+    write(spark, str(tmp_path), "documents", rows, "doc_id bigint, text string")
+    found = QUERIES["op4_fingerprint"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(ORACLES["op4_fingerprint"])
+    assert Counter(tuple(r) for r in found.select(*want.columns).collect()) == Counter(want.fetchall())
+
+
 def test_fingerprints_are_homomorphic(spark):
     from pyspark.sql import functions as F
 
@@ -369,18 +413,43 @@ def test_url_keys(spark):
 
     found = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc.url_key(F.col("u"))).collect()]
     assert found == ["com,example,blog)/a/b?q=1", "org,x)", "4,3,2,1)/p", "not a url", "", "", "h)?x"]
-    assert found == [warc.key_of(u or "") for u in urls]
 
 
 def test_index_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 3)
     folder = f"file://{tmp_path}/w"
-    rows = [(f"com,h{i % 5})/{i % 7}", i if i else None, "f", i * 10, 10) for i in range(60)]
+    rows = [(f"com,h{i % 5})/{i % 7}", i if i else None, f"d{i % 3}", "f", i * 10, 10) for i in range(60)]
     shards = warc.write_index(spark.createDataFrame(rows, warc.CDX), folder)
     index = warc.Index(folder, shards)
-    for k, i, *rest in rows:
-        assert index.find(k, i)[2:] == rest
-    assert index.find("aaa", 1) is None and index.find("com,h1)/1", 10**9) is None and index.find("zzz", 1) is None
+    for k, i, d, *rest in rows:
+        assert index.find(k, i, d)[3:] == rest
+    for k, i, d in (("aaa", 1, "d1"), ("com,h1)/1", 10**9, "d1"), ("zzz", 1, "d1"), (*rows[7][:2], "other"), (rows[0][0], warc.NONE, "d0")):
+        with pytest.raises(warc.NotIndexed):
+            index.find(k, i, d)
+
+
+def _archived(spark, path, rows):
+    from .conftest import write
+
+    write(spark, path, "pages", rows, "page_id bigint, url string, html string")
+    found = QUERIES["op8_warc"](spark, path).collect()
+    return Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found)
+
+
+def test_rows_of_one_url_and_page_are_read_back_each(spark, tmp_path):
+    html = ["a" * 120, "b" * 130, None, "c" * 140]
+    rows = [(1, "http://x.org/", html[0]), (1, "http://x.org/", html[1]), (1, "http://x.org/", html[2]), (2, "http://x.org/", html[1]), (None, None, html[3]), (None, None, html[0]), (None, None, html[3])]
+    sha = [hashlib.sha256((h or "").encode()).hexdigest() for h in html]
+    want = [(1, 120, sha[0], "response", None), (1, 130, sha[1], "response", None), (1, 0, sha[2], "response", None), (2, 130, sha[1], "revisit", 1), (None, 140, sha[3], "response", None), (None, 120, sha[0], "revisit", 1), (None, 140, sha[3], "response", None)]
+    assert _archived(spark, str(tmp_path), rows) == Counter(want)
+
+
+def test_urls_with_line_breaks(spark, tmp_path):
+    html = "é" * 90
+    rows = [(5, "http://x.org/a\r\nb: c\n\n", html), (9, "http://\n", html), (7, "HTTP://İΣ.org/ \r", html), (-(1 << 63), "\n", "short")]
+    sha = hashlib.sha256(html.encode()).hexdigest()
+    want = [(5, 180, sha, "response", None), (9, 180, sha, "revisit", 5), (7, 180, sha, "revisit", 5), (-(1 << 63), 5, hashlib.sha256(b"short").hexdigest(), "response", None)]
+    assert _archived(spark, str(tmp_path), rows) == Counter(want)
 
 
 def test_empty_pages(spark, empty):
@@ -401,24 +470,21 @@ def _duck(folder):
 def test_mixing_by_sql(spark, folder):
     found = QUERIES["op5_mixing"](spark, folder).collect()
     want = _duck(folder).sql(ORACLES["op5_mixing"]).fetchall()
-    key = lambda r: (r[0], r[1], round(r[2], 9), r[3], r[4])
+    key = lambda r: (r[0], r[1], round(r[2], 9), *r[3:])
     assert Counter(key(r) for r in found) == Counter(key(r) for r in want)
-    assert [r["shuffle_key"] for r in found] == sorted(r["shuffle_key"] for r in found)
-
-
-def test_mixed_documents_have_their_texts(spark, folder):
-    found = QUERIES["op5_documents"](spark, folder).collect()
-    order = _duck(folder).sql(ORACLES["op5_mixing"]).fetchall()
-    texts = {}
-    for i, source, text in _duck(folder).sql("SELECT doc_id, source, text FROM documents").fetchall():
-        texts.setdefault((i, source), Counter())[text] += 1
-    want = Counter((r[0], r[1], r[4]) for r in order)
-    assert Counter((r["doc_id"], r["source"], r["shuffle_key"]) for r in found) == want
-    held = {}
-    for r in found:
-        held.setdefault((r["doc_id"], r["source"], r["copy"]), Counter())[r["text"]] += 1
-    assert all(c == texts[k[:2]] for k, c in held.items()) and any(r["text"] for r in found)
-    assert [r["shuffle_key"] for r in found] == sorted(r["shuffle_key"] for r in found)
+    assert any(r["n_chars"] for r in found) and len({r["copy"] for r in found}) > 1
+
+
+def test_the_mix_is_in_one_order(spark, folder):
+    out = mixing.mix(base.table(spark, folder, "documents").drop("rate", "copy"))
+    keys = [r["shuffle_key"] for r in out.select("shuffle_key").collect()]
+    assert keys == sorted(keys) and out.rdd.getNumPartitions() > 1
+
+
+def test_a_null_source_has_the_weight_of_none(spark):
+    docs = spark.createDataFrame([(i, "x" * 9, s) for i in range(300) for s in (None, "", "a")], "doc_id bigint, text string, source string")
+    rate = lambda w: {r["source"]: round(r["rate"], 3) for r in mixing.rates(docs, w).collect()}
+    assert rate({"a": 1.0}) == {None: 0, "": 0, "a": 3} and rate({None: 1.0, "": 3.0}) == {None: 0.75, "": 2.25, "a": 0}
 
 
 def test_mixing_meets_weights(spark):
