@@ -2,8 +2,15 @@
 
 `Merges.lookahead` is computed from the merge list: whether a merge is applied at a place depends on at most
 so many symbols to its right. So a token that ends that far before the end of what has been read is stable and
-is emitted; the transducer holds at most `Merges.window` symbols of a word, whatever its length. Decoding is
-a state machine too: `Decoder` takes ids in pieces and holds back only an unfinished UTF-8 sequence.
+is emitted; the transducer (`Stream`) holds `Merges.window` symbols of a word besides those it was just given, whatever the word's
+length. All words go through it; one that ends within the lookahead is stable at its end. `Encoder` feeds it a text in pieces of
+PIECE characters, also where a word is longer than that, so what is held besides a text does not grow with it. Words that come again
+are looked up in a cache of bounded bytes. Decoding is a state machine too: `Decoder` takes ids in pieces and holds back only an unfinished
+UTF-8 sequence.
+
+Texts are cut where it leaves no trace: behind a blank before an ASCII character, or within a run of RUN letters, digits or signs, in
+which no special token and no contraction can lie, and where nothing composes across the cut. Only a text without any such place is
+taken whole.
 
 Defined results: null and empty texts give no ids and the empty text; equal texts give equal ids; strings of
 special tokens in a text become their ids, as the tokenizers library does by default. Code points that no Unicode version up to
@@ -18,8 +25,8 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import sub_batches, table
 
-#: Words whose tokens a worker remembers; only speed depends on it.
-REMEMBERED = 200_000
+#: Bytes of words and tokens that a worker remembers, and of the longest such word; only speed depends on it.
+REMEMBERED, LONGEST_REMEMBERED = 32 << 20, 64
+#: Characters that go to the transducer at once, about.
+PIECE = 1 << 16
+#: Longer than any run of letters in a special token.
+RUN = 18
+#: Symbols from which on merges are found by a heap.
+HEAP_FROM = 48
 #: White space by Unicode's property, as the tokenizer files' \\s means it.
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -79,6 +92,8 @@ class Merges:
 
     def merged(self, ids: list[int]) -> list[int]:
         """Plain BPE of a bounded list of symbols: the merge of lowest rank first, leftmost first."""
+        if len(ids) >= HEAP_FROM:
+            return self._merged_long(ids)
         get, none = self.pair.get, 1 << 60
         ranks = [get(p, none) for p in map(_pair, ids, ids[1:])]
         while ranks and (best := min(ranks)) != none:
@@ -91,21 +106,50 @@ class Merges:
                 ranks[i - 1] = get(ids[i - 1] << 20 | made, none)
         return ids
 
-    def stream(self, ids: Iterable[int]) -> Iterator[int]:
-        """Tokens of a word of any length, each as soon as it is stable."""
-        it, held = iter(ids), []
-        while True:
-            held += islice(it, self.window - len(held))
-            if len(held) < self.window:
-                yield from self.merged(held)
-                return
-            stable, done = len(held) - self.lookahead, 0
-            for token in self.merged(held[:]):
-                if done + self.sizes[token] > stable:
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        get, n = self.pair.get, len(ids)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, i) for i, p in enumerate(map(_pair, ids, ids[1:])) if (r := get(p)) is not None]
+        heapify(heap)
+        while heap:
+            best, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or get(ids[i] << 20 | ids[j]) != best:
+                continue  # one of the two is gone
+            ids[i], ids[j] = best & 0xFFFFF, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (r := get(ids[i] << 20 | ids[k])) is not None:
+                    heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := get(ids[h] << 20 | ids[i])) is not None:
+                heappush(heap, (r, h))
+        return [x for x in ids if x >= 0]
+
+
+class Stream:
+    """A word's symbols in, its tokens out, each as soon as it is stable."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.held = merges, []
+
+    def push(self, symbols: list[int]) -> list[int]:
+        m, held, at, out = self.merges, self.held + symbols, 0, []
+        while len(held) - at >= m.window:
+            part = held[at : at + m.window]
+            stable, done = len(part) - m.lookahead, 0
+            for token in m.merged(part):
+                if done + m.sizes[token] > stable:
                     break
-                done += self.sizes[token]
-                yield token
-            held = held[done:]
+                done += m.sizes[token]
+                out.append(token)
+            at += done
+        self.held = held[at:]
+        return out
+
+    def end(self) -> list[int]:
+        held, self.held = self.held, []
+        return self.merges.merged(held)
 
 
 def _pair(a: int, b: int) -> int:
@@ -130,6 +174,7 @@ class WordBPE:
         self.inner = [m["vocab"][c] for c in self.letters]
         self.last = [m["vocab"][c + m["end_of_word_suffix"]] for c in self.letters]
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         names = dict(m["vocab"]) | special
         self.names = [""] * (max(names.values()) + 1)
         for t, i in names.items():
@@ -140,31 +185,74 @@ class WordBPE:
 
     def word(self, w: str) -> bytes:
         """A word's ids as little-endian unsigned 32-bit integers."""
-        raw = w.encode()
-        if len(raw) < self.merges.window:
-            ids = self.merges.merged([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]])
-        else:
-            ids = self.merges.stream(chain(map(self.inner.__getitem__, raw[:-1]), (self.last[raw[-1]],)))
-        out = array("I", ids).tobytes()
-        if len(raw) <= self.merges.window:
-            if len(self.known) >= REMEMBERED:
+        raw, stream = w.encode(), Stream(self.merges)
+        ids = stream.push([self.inner[x] for x in raw[:-1]] + [self.last[raw[-1]]])
+        out = array("I", ids + stream.end()).tobytes()
+        if len(raw) <= LONGEST_REMEMBERED:
+            self.known_bytes += len(raw) + len(out)
+            if self.known_bytes > REMEMBERED:
                 self.known.clear()
+                self.known_bytes = len(raw) + len(out)
             self.known[w] = out
         return out
 
-    def _plain(self, text: str) -> bytes:
+    def split(self, text: str) -> list[str | int]:
+        """The words of a piece of text, and ids of special tokens."""
+        if "<" in text and len(parts := self.cut.split(text)) > 1:
+            return [x for p in parts for x in ((self.special[p],) if p in self.special else self.split(p))]
         if text.isascii():
-            words = self.ascii_words(text.lower())
-        else:
-            # Lower case letter by letter: a capital sigma at a word's end has no form of its own.
-            words = self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        known, word = self.known.get, self.word
-        return b"".join([known(w) or word(w) for w in words])
+            return self.ascii_words(text.lower())
+        # Lower case letter by letter: a capital sigma at a word's end has no form of its own.
+        return self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def encode(self, text: str) -> bytes:
-        if "<" not in text or len(parts := self.cut.split(text)) == 1:
-            return self._plain(text)
-        return b"".join(int(self.special[p]).to_bytes(4, "little") if p in self.special else self._plain(p) for p in parts)
+        encoder = Encoder(self)
+        return b"".join(encoder.feed(p, open_) for p, open_ in pieces(text))
+
+
+#: Where a text may be cut: behind a blank, or before the last character of a run. The last kind is of letters that compose
+#: with nothing before them.
+CUT = re.compile(rf"[ \t\n\r](?=[!-~])|[A-Za-z]{{{RUN}}}|[0-9]{{{RUN}}}|[!-&(-/:;=?@\[-`{{}}~]{{{RUN}}}|[\u3041-\u3096\u4e00-\u9fff\uac00-\ud7a3]{{{RUN}}}")
+
+
+def pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """Pieces of a text, and whether each one's last word goes on in the next."""
+    at = 0
+    while len(text) - at > PIECE and (m := CUT.search(text, at + PIECE - RUN)):
+        blank = m.end() == m.start() + 1
+        end = m.end() if blank else m.end() - 1
+        yield text[at:end], not blank and text[end] not in "0123456789"
+        at = end
+    yield text[at:], False
+
+
+class Encoder:
+    """A text in pieces to ids in pieces. Between two of them it holds the stream of a word that goes on, and the word's last byte
+    so far, as a word's last symbol is another one."""
+
+    def __init__(self, bpe: WordBPE):
+        self.bpe, self.stream, self.byte = bpe, None, 0
+
+    def _more(self, w: str) -> list[int]:
+        raw = w.encode() if self.stream is None else bytes([self.byte]) + w.encode()
+        self.stream = self.stream or Stream(self.bpe.merges)
+        self.byte = raw[-1]
+        return self.stream.push([self.bpe.inner[x] for x in raw[:-1]])
+
+    def feed(self, piece: str, open_: bool = False) -> bytes:
+        words, out = self.bpe.split(piece), []
+        if self.stream is not None and words:
+            ids = self._more(words.pop(0))
+            if words or not open_:
+                ids += self.stream.push([self.bpe.last[self.byte]]) + self.stream.end()
+                self.stream = None
+            out.append(array("I", ids).tobytes())
+        last = words.pop() if open_ and words else None
+        known, word = self.bpe.known.get, self.bpe.word
+        out += [x.to_bytes(4, "little") if isinstance(x, int) else known(x) or word(x) for x in words] if "<" in piece else [known(w) or word(w) for w in words]
+        if last is not None:
+            out.append(array("I", self._more(last)).tobytes())
+        return b"".join(out)
 
 
 class Decoder:
@@ -191,8 +279,6 @@ class Decoder:
         return "" if self.joined else self.utf8.decode(b"", True)
 
 
-#: Ids that decode_digest takes at once.
-PIECE = 1 << 16
 _loaded: dict[str, WordBPE] = {}
 
 
@@ -203,13 +289,18 @@ def _bpe(text: str) -> WordBPE:
     return _loaded[key]
 
 
-def told(bpe: WordBPE, ids: bytes) -> str:
-    """SHA-256 of what ids decode to, a piece at a time."""
-    d, h, all_ = Decoder(bpe), hashlib.sha256(), np.frombuffer(ids, "<u4")
-    for i in range(0, len(all_), PIECE):
-        h.update(d.feed(all_[i : i + PIECE]).encode())
-    h.update(d.end().encode())
-    return h.hexdigest()
+def told(bpe: WordBPE, text: str, keep: bool) -> tuple[bytes | None, int, str, str]:
+    """The ids, where they are to be kept, their number and digest, and the digest of what they decode to, a piece at a time."""
+    encoder, decoder, ids, decoded, n, kept = Encoder(bpe), Decoder(bpe), hashlib.sha256(), hashlib.sha256(), 0, []
+    for p, open_ in pieces(text):
+        x = encoder.feed(p, open_)
+        ids.update(x)
+        n += len(x) // 4
+        decoded.update(decoder.feed(np.frombuffer(x, "<u4")).encode())
+        if keep:
+            kept.append(x)
+    decoded.update(decoder.end().encode())
+    return b"".join(kept) if keep else None, n, ids.hexdigest(), decoded.hexdigest()
 
 
 def encode(df: DataFrame, tokenizer_path: str, column: str = "text", to: str = "ids", digest: bool = False, both: bool = False) -> DataFrame:
@@ -227,10 +318,12 @@ def encode(df: DataFrame, tokenizer_path: str, column: str = "text", to: str = "
         bpe = _bpe(held.value)
         for batch in batches:
             for part in sub_batches(batch, column):
-                found = [bpe.encode(t or "") for t in part.column(column).to_pylist()]
-                new = [pa.array(found, pa.binary())] if both or not digest else []
+                texts = (t.as_py() or "" for t in part.column(column))
                 if digest or both:
-                    new += [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()), pa.array([told(bpe, x) for x in found], pa.string())]
+                    cols = zip(*(told(bpe, t, both) for t in texts))
+                    new = [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.string(), pa.string()))][not both :]
+                else:
+                    new = [pa.array([bpe.encode(t) for t in texts], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], names=[*keep, *made])
 
     return df.mapInArrow(run, ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` {t}" for c, t in made.items()]))
@@ -247,8 +340,8 @@ def decode(df: DataFrame, tokenizer_path: str, column: str = "ids", to: str = "d
         for batch in batches:
             out = []
             for x in batch.column(column).to_pylist():
-                d = Decoder(bpe, joined)
-                out.append(d.feed(np.frombuffer(x or b"", "<u4")) + d.end())
+                d, ids = Decoder(bpe, joined), np.frombuffer(x or b"", "<u4")
+                out.append("".join([d.feed(ids[i : i + PIECE]) for i in range(0, len(ids), PIECE)]) + d.end())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, to])
 
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{to}` string")

@@ -285,7 +285,61 @@ def test_small_windows_are_enough():
         m = bpe.Merges(vocab, merges)
         m.window = m.lookahead + m.longest + 1
         ids = [rng.randrange(3) for _ in range(200)]
-        assert list(m.stream(ids)) == m.merged(ids[:])
+        stream, out, k = bpe.Stream(m), [], 0
+        while k < len(ids):
+            n = rng.randint(1, 40)
+            out += stream.push(ids[k : k + n])
+            assert len(stream.held) < m.window
+            k += n
+        assert out + stream.end() == m.merged(ids[:])
+
+
+def test_merging_by_a_heap(tokenizer, monkeypatch):
+    m, rng = tokenizer[1].merges, random.Random(2)
+    symbols = [tokenizer[1].inner[ord(c)] for c in "abcdeinst"]
+    for n in (1, 2, 5, 47, 48, 400):
+        ids = [rng.choice(symbols) for _ in range(n)]
+        monkeypatch.setattr(bpe, "HEAP_FROM", 1 << 30)
+        want = m.merged(ids[:])
+        monkeypatch.setattr(bpe, "HEAP_FROM", 0)
+        assert m.merged(ids[:]) == want
+
+
+def test_every_word_goes_through_the_transducer(tokenizer, monkeypatch):
+    b, seen, push = bpe.WordBPE(open(bpe.tokenizer_file("word_bpe_49k.json"), encoding="utf-8").read()), [], bpe.Stream.push
+    monkeypatch.setattr(bpe.Stream, "push", lambda self, s: (seen.append(len(s)), push(self, s))[1])
+    b.encode("a bb ccc " + "d" * 3000 + " a bb")
+    assert sorted(seen) == [1, 2, 3, 3000] and set(b.known) == {"a", "bb", "ccc"}
+
+
+def test_pieces_leave_no_trace(tokenizer, monkeypatch):
+    t, b = tokenizer
+    monkeypatch.setattr(bpe, "PIECE", 40)
+    rng = random.Random(7)
+    parts = ["word ", "don't ", "we'll've ", "<|endoftext|>", "<|startoftext|> ", "a" * 70, "1" * 60, "=" * 90, "-'s" * 9, "é́ ", " ́x", "日本語" * 30, "각ᆨ", "\n\n", "x\t", "ΣΑΣ ", "İstanbul" * 8, "letters" * 9 + "'re", "<|endof" * 6, "🙂" * 30, "|>" * 20]
+    cut = 0
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        assert "".join(p for p, _ in bpe.pieces(text)) == text
+        cut += any(open_ for _, open_ in bpe.pieces(text))
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b.encode(text), "<u4").tolist() == want
+        kept, n, ids, decoded = bpe.told(b, text, True)
+        assert (n, ids) == (len(want), hashlib.sha256(kept).hexdigest()) and decoded == hashlib.sha256(t.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    assert cut > 50
+
+
+@pytest.mark.parametrize("text", ["some words here " * 100_000, "abcdefghij" * 40_000, "=" * 400_000], ids=["words", "letters", "signs"])
+def test_memory_does_not_grow_with_the_text(tokenizer, text):
+    import tracemalloc
+
+    b = tokenizer[1]
+    bpe.told(b, text[:100], False)
+    tracemalloc.start()
+    _, n, _, _ = bpe.told(b, text, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n and peak < 12 << 20  # a piece of 65,536 symbols, as Python's numbers
 
 
 def test_decoder_takes_pieces(tokenizer):
