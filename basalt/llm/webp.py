@@ -1,13 +1,17 @@
 """Lossless WebP images (VP8L in RIFF): an encoder for payloads of bytes and a decoder for the whole format.
 
 The decoder reads prefix codes, meta prefix codes, back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. Images whose codes carry one symbol of green
-alone, such as the encoder's, are decoded many at a time, one pixel of each per step.
+predictor, cross-colour, subtract-green and palette transforms. Images of one group of codes are decoded many at a time, one
+pixel of each per step; others one by one.
 
-Payloads: the bytes, 255 appended up to a positive multiple of 576, are grey pixels in rows of 576; every
+The encoder gives images of few colours a palette, several pixels to one; copies what occurred before, three pixels and more; and uses a
+colour cache where enough of the other pixels hit it. What it chooses depends on the image alone.
+
+Payloads: the bytes, 255 appended up to a positive multiple of 576, are red, green and blue samples in rows of 192 pixels; every
 STRIP_ROWS rows are an image of their own, and the stored form is these RIFF files one after another.
 
-Defined results: null texts are empty; empty texts give one row of 255; equal texts give equal bytes.
+Defined results: null texts are empty; empty texts give one row of 255; equal texts give equal bytes; texts of any length are as many
+images as they need.
 """
 
 from __future__ import annotations
@@ -21,12 +25,22 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .base import sub_batches, table
+from .base import Scratch, sub_batches, table
 
-UNIT, STRIP_ROWS, PAD = 576, 8, 255
+UNIT, STRIP_ROWS, PAD = 576, 32, 255
+WIDTH = UNIT // 3
 #: The longest prefix code that the encoder makes; the format allows 15.
-LONGEST = 11
+LONGEST = 12
+#: Bytes of texts or images that are worked on at once.
+SLICE = 6 << 20
+#: The least and most pixels that the encoder copies at once; the format allows 4096.
+LEAST_COPY, MOST_COPY = 3, 4096
+#: Colour caches by an image's pixels (from so many on, bits), and the share of pixels that must hit it.
+CACHES, CACHE_SHARE = ((2048, 10), (512, 9), (128, 7), (32, 5)), 1 / 16
+#: Colours of an image that gets a palette, at most.
+PALETTE = 16
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -425,152 +439,337 @@ def decode(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(c[:, [2, 1, 0, 3]].reshape(h.height, h.full_width, 4))
 
 
-def decode_greys(streams: list[bytes]) -> list[np.ndarray]:
-    """The green samples of many images. Images with but green literals and no transform besides subtract-green
-    go pixel by pixel all together; others one by one."""
-    out: list[np.ndarray | None] = [None] * len(streams)
-    lanes = []
-    for i, s in enumerate(streams):
-        bits, h = start(s)
-        codes = h.codes[0]
-        plain = not h.cache and not h.meta and all(t[0] == 2 for t in h.transforms) and all(c.only is not None for c in codes[1:4])
-        if plain and codes[0].only is None and codes[0].bits <= LONGEST and int((codes[0].table & 0xFFFF).max()) < 256:
-            lanes.append((h.width * h.height, i, bits.at, codes[0]))
-        else:
-            out[i] = _channels(undo(h, pixels(bits, h)))[:, 1]
-    if not lanes:
-        return out
-    lanes.sort(key=lambda x: (-x[0], x[1]))
-    sizes = np.array([x[0] for x in lanes])
-    # All streams in one buffer, 24 bits from each byte on.
-    parts = [streams[x[1]] for x in lanes]
-    data = np.frombuffer(b"".join(parts) + bytes(4), np.uint8).astype(np.uint32)
-    words = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16
-    begin = np.cumsum([0, *map(len, parts[:-1])])
-    at = (begin * 8 + [x[2] for x in lanes]).astype(np.int64)
-    width = max(x[3].bits for x in lanes)
-    tables = np.zeros((len(lanes), 1 << width), np.uint32)
-    for k, x in enumerate(lanes):
-        tables[k] = np.tile(x[3].table, 1 << (width - x[3].bits))
-    tables = tables.ravel()
-    ends = np.cumsum(sizes)
-    where = ends - sizes
-    flat = np.empty(int(ends[-1]), np.uint8)
-    row = np.arange(len(lanes), dtype=np.int64) << width
-    mask = np.uint32((1 << width) - 1)
-    step, live = 0, len(lanes)
-    while live:
-        until = int(sizes[live - 1])
-        a, r, w = at[:live], row[:live], where[:live]
-        for step in range(step, until):
-            e = tables[r + ((words[a >> 3] >> (a & 7).astype(np.uint32)) & mask)]
-            flat[w + step] = e
-            a += e >> 16
-        step = until
-        while live and sizes[live - 1] == until:
+def _flat(code: Code, bits: int) -> np.ndarray:
+    """A code's table, or that of its only symbol, which takes no bits, filled up to 2^bits entries."""
+    table = np.array([code.only], np.uint32) if code.only is not None else code.table
+    return np.tile(table, 1 << (bits - code.bits))
+
+
+def _prefixed(symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances of symbols, the extra bits from the lowest of each window on; and how many bits these were."""
+    s = symbol.astype(np.int64)
+    k = np.where(s < 4, 0, (s - 2) >> 1)
+    more = (window & ((np.uint64(1) << k.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    return np.where(s < 4, s + 1, ((2 + (s & 1)) << k) + more + 1), k
+
+
+def pixels_together(streams: list[bytes], heads: list[tuple[Bits, Head]]) -> list[np.ndarray]:
+    """pixels() of many images of one group of codes, none of them longer than LONGEST bits."""
+    n = len(streams)
+    if not n:
+        return []
+    order = sorted(range(n), key=lambda i: -heads[i][1].width * heads[i][1].height)
+    head = [heads[i][1] for i in order]
+    sizes = np.array([h.width * h.height for h in head])
+    across = np.array([h.width for h in head])
+    begin = np.cumsum([0, *(len(streams[i]) for i in order)])
+    data = np.frombuffer(b"".join([streams[i] for i in order]) + bytes(16), np.uint8)
+    eight = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
+    at = begin[:-1] * 8 + [heads[i][0].at for i in order]
+    limit = begin[1:] * 8
+    tables, rows, masks = [], [], []
+    for kind in range(5):
+        width = max(h.codes[0][kind].bits for h in head)
+        tables.append(np.concatenate([_flat(h.codes[0][kind], width) for h in head]))
+        rows.append(np.arange(n) << width)
+        masks.append(np.uint64((1 << width) - 1))
+    cache_bits = np.array([h.cache for h in head])
+    has_cache = cache_bits > 0
+    room = np.cumsum([0, *(1 << cache_bits)])
+    shift, cache = (32 - cache_bits).astype(np.uint64), np.zeros(int(room[-1]), np.uint32)
+    room = room[:-1]
+    near = np.array(NEAR)
+    where = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint32)
+    left, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    live, any_cache = n, bool(has_cache.any())
+
+    def symbol(kind: int, lanes: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        e = tables[kind][rows[kind][lanes] + (window & masks[kind]).astype(np.int64)]
+        k = e >> np.uint32(16)
+        return e & np.uint32(0xFFFF), k.astype(np.int64), window >> k.astype(np.uint64)
+
+    for t in range(int(sizes[0])):
+        while sizes[live - 1] <= t:
             live -= 1
-    for x, b, n in zip(lanes, where.tolist(), sizes.tolist()):
-        out[x[1]] = flat[b : b + n]
+        now = where[:live] + t
+        read = np.flatnonzero(left[:live] == 0)
+        if len(read):
+            a = at[read]
+            s, used, window = symbol(0, read, eight[a >> 3] >> (a & 7).astype(np.uint64))
+            literal = np.flatnonzero(s < 256)
+            if len(literal):
+                lanes, w = read[literal], window[literal]
+                red, k1, w = symbol(1, lanes, w)
+                blue, k2, w = symbol(2, lanes, w)
+                alpha, k3, _ = symbol(3, lanes, w)
+                out[now[lanes]] = alpha << np.uint32(24) | red << np.uint32(16) | s[literal] << np.uint32(8) | blue
+                used[literal] += k1 + k2 + k3
+            if len(literal) < len(read):
+                copy = np.flatnonzero((s >= 256) & (s < 256 + LENGTHS))
+                if len(copy):
+                    lanes, w = read[copy], window[copy]
+                    length, k1 = _prefixed(s[copy] - np.uint32(256), w)
+                    d, k2, w = symbol(4, lanes, w >> k1.astype(np.uint64))
+                    d, k3 = _prefixed(d, w)
+                    small = d <= len(NEAR)
+                    x, y = near[np.where(small, d, 1) - 1].T
+                    d = np.where(small, np.maximum(1, x + y * across[lanes]), d - len(NEAR))
+                    if (d > t).any() or (t + length > sizes[lanes]).any():
+                        raise BadImage("a copy from outside")
+                    left[lanes], back[lanes] = length, d
+                    used[copy] += k1 + k2 + k3
+                hit = np.flatnonzero(s >= 256 + LENGTHS)
+                if len(hit):
+                    lanes = read[hit]
+                    if not has_cache[lanes].all():
+                        raise BadImage("a colour cache that is not there")
+                    out[now[lanes]] = cache[room[lanes] + s[hit].astype(np.int64) - 256 - LENGTHS]
+            a += used
+            if (a > limit[read]).any():
+                raise BadImage("the stream ends early")
+            at[read] = a
+        if len(read) < live or left[:live].any():
+            lanes = np.flatnonzero(left[:live])
+            out[now[lanes]] = out[now[lanes] - back[lanes]]
+            left[lanes] -= 1
+        if any_cache:
+            px = out[now]
+            slot = ((px.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> shift[:live]
+            cache[room[:live] + slot.astype(np.int64)] = px
+    found: list = [None] * n
+    for i, b, k in zip(order, where.tolist(), sizes.tolist()):
+        found[i] = out[b : b + k]
+    return found
+
+
+def decode_all(streams: list[bytes]) -> list[np.ndarray]:
+    """The pixels of many images, alpha << 24 | red << 16 | green << 8 | blue."""
+    heads = [start(s) for s in streams]
+    together = [i for i, (_, h) in enumerate(heads) if not h.meta and all(c.bits <= LONGEST for c in h.codes[0])]
+    out: list = [None] * len(streams)
+    for i, px in zip(together, pixels_together([streams[i] for i in together], [heads[i] for i in together])):
+        out[i] = px
+    for i, (bits, h) in enumerate(heads):
+        out[i] = undo(h, pixels(bits, h) if out[i] is None else out[i])
     return out
 
 
 # Encoder
 
-#: Lengths of the code for code lengths: 17 and 18 (runs of zeros) in 3 bits, 0 to 11 in 4 bits.
-OWN = [4] * 12 + [0] * 5 + [3, 3]
-OWN_CODES = canonical(OWN)[0]
-
-
-def head(width: int, height: int, lengths: list[int]) -> tuple[int, int]:
-    """The bits before the pixels of a grey image, as a number, and how many: subtract-green, so red and blue are
-    0 and alpha 255 throughout; no colour cache, one group of codes."""
-    w = Writer()
-    w.put(0x2F, 8)
-    w.put(width - 1, 14)
-    w.put(height - 1, 14)
-    w.put(0, 4)
-    w.put(1 | 2 << 1, 3)  # a transform: subtract green
-    w.put(0, 3)  # no further one, no cache, no meta codes
+GREENS = 256 + LENGTHS + (1 << CACHES[0][1])
+#: Lengths of the code for code lengths: 17 and 18 (runs of zeros) in 3 bits, 1 and 2 in 5, 0 and 3 to 12 in 4 bits.
+OWN = [4, 5, 5, *[4] * 10, *[0] * 4, 3, 3]
+OWN_TEXT = {s: f"{code:0{k}b}"[::-1] for s, (code, k) in canonical(OWN)[0].items()}
+
+
+def prefix_codes(counts: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Lengths of a Huffman code, and by symbol how many bits it takes (none, where it is the only one) and these bits."""
+    lengths = code_lengths(counts) if counts.any() else [1, *[0] * (len(counts) - 1)]
+    k = np.array(lengths)
+    order = np.flatnonzero(k)
+    bits, codes = np.zeros(len(k), np.int64), np.zeros(len(k), np.uint64)
+    if len(order) > 1:
+        order = order[np.argsort(k[order], kind="stable")]
+        kk = k[order]
+        most = int(kk[-1])
+        code = np.concatenate(([0], np.cumsum(np.left_shift(1, most - kk))[:-1])) >> (most - kk)
+        bits[order] = kk
+        codes[order] = _reversed(most)[code << (most - kk)]
+    return lengths, bits, codes
+
+
+def put_code(w: Writer, lengths: list[int]) -> None:
+    """A prefix code: that of a single symbol in short, others by their lengths."""
     used = [s for s, n in enumerate(lengths) if n]
-    if len(used) == 1:
+    if len(used) == 1 and used[0] < 256:
         w.put(1 | 0 << 1 | 1 << 2 | used[0] << 3, 11)
-    else:
-        w.put(0, 1)
-        w.put(15, 4)
-        for s in CODE_LENGTH_ORDER:
-            w.put(OWN[s], 3)
-        w.put(0, 1)
-        at, last = 0, used[-1]
-        while at < 256 + LENGTHS:
-            n = lengths[at] if at <= last else 0
-            if n:
-                w.put(*OWN_CODES[n])
-                at += 1
-                continue
-            run = at
-            while run <= last and not lengths[run]:
-                run += 1
-            run = (run if run <= last else 256 + LENGTHS) - at
-            k = min(run, 138)
-            if k >= 11:
-                w.put(*OWN_CODES[18])
-                w.put(k - 11, 7)
-            elif k >= 3:
-                w.put(*OWN_CODES[17])
-                w.put(k - 3, 3)
-            else:
-                k = 1
-                w.put(*OWN_CODES[0])
-            at += k
-    w.put(1 | 0 << 1 | 0 << 2 | 0 << 3, 4)  # red 0
-    w.put(1 | 0 << 1 | 0 << 2 | 0 << 3, 4)  # blue 0
-    w.put(1 | 0 << 1 | 1 << 2 | 255 << 3, 11)  # alpha 255
-    w.put(1 | 0 << 1 | 0 << 2 | 0 << 3, 4)  # distances
-    return w.n, w.at
-
-
-def encode_greys(payloads: list[np.ndarray], width: int = UNIT) -> list[bytes]:
-    """RIFF files of grey images, each a payload whose size is a multiple of width."""
+        return
+    w.put(0 | 15 << 1, 5)
+    for s in CODE_LENGTH_ORDER:
+        w.put(OWN[s], 3)
+    w.put(0, 1)
+    # As text, from the lowest bit on: quicker than a number that grows.
+    out, last = [], -1
+    for s in used:
+        if s > last + 1:
+            out.append(_zeros(s - last - 1))
+        out.append(OWN_TEXT[lengths[s]])
+        last = s
+    out.append(_zeros(len(lengths) - last - 1))
+    text = "".join(out)
+    w.put(int(text[::-1], 2), len(text))
+
+
+@lru_cache(4096)
+def _zeros(n: int) -> str:
+    """The code lengths of n symbols that do not occur."""
+    out = ""
+    while n:
+        if n >= 11:
+            run = min(n, 138)
+            out += OWN_TEXT[18] + f"{run - 11:07b}"[::-1]
+        elif n >= 3:
+            run = n
+            out += OWN_TEXT[17] + f"{run - 3:03b}"[::-1]
+        else:
+            run = 1
+            out += OWN_TEXT[0]
+        n -= run
+    return out
+
+
+def put_palette(w: Writer, colours: np.ndarray) -> None:
+    """The palette transform: its colours as an image of one row, each less the one before."""
+    w.put(1 | 3 << 1, 3)
+    w.put(len(colours) - 1, 8)
+    w.put(0, 1)  # no cache
+    c = _channels(colours)
+    deltas = np.concatenate((c[:1], c[1:] - c[:-1]))
+    codes = [prefix_codes(np.bincount(deltas[:, j], minlength=256 + (LENGTHS if j == 1 else 0))) for j in (1, 2, 0, 3)]
+    for lengths, _, _ in codes:
+        put_code(w, lengths)
+    put_code(w, [1])
+    for row in deltas.tolist():
+        for j, (_, bits, value) in zip((1, 2, 0, 3), codes):
+            w.put(int(value[row[j]]), int(bits[row[j]]))
+
+
+def prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, number of extra bits and these, for lengths or distances from 1 on."""
+    x = np.maximum(v - 1, 1)
+    top = np.frexp(x)[1] - 1
+    k = np.maximum(top - 1, 0)
+    big = v > 4
+    return np.where(big, 2 * top + (x >> k & 1), v - 1), np.where(big, k, 0), np.where(big, x & ((1 << k) - 1), 0)
+
+
+def _before(key: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with its key, or -1."""
+    order = np.argsort(key, kind="stable")
+    out = np.full(len(key), -1, np.int64)
+    same = key[order[1:]] == key[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def copies(px: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where copies begin, how long they are and from how far; px: pixels of images one after another, of: the image of each."""
+    n = len(px) - LEAST_COPY + 1
+    none = np.zeros(0, np.int64)
+    if n <= 0:
+        return none, none, none
+    x = px.astype(np.uint64)
+    key = of[:n].astype(np.uint64)
+    for j in range(LEAST_COPY):
+        key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + x[j : j + n] * np.uint64(0x9E3779B97F4A7C15)
+    prior = _before(key)
+    i = np.arange(n)
+    ok = (prior >= 0) & (of[:n] == of[LEAST_COPY - 1 :]) & (of[prior] == of[:n])
+    for j in range(LEAST_COPY):
+        ok &= px[np.maximum(prior, 0) + j] == px[i + j]
+    far = np.where(ok, i - prior, 0)
+    new = np.flatnonzero(np.concatenate(([True], far[1:] != far[:-1])))
+    end = np.concatenate((new[1:], [n]))
+    real = far[new] > 0
+    first, end, far = new[real], end[real] + LEAST_COPY - 1, far[new[real]]
+    if not len(first):
+        return none, none, none
+    first = np.maximum(first, np.concatenate(([0], np.maximum.accumulate(end)[:-1])))
+    size = np.minimum(end - first, MOST_COPY)
+    keep = size >= LEAST_COPY
+    return first[keep], size[keep], far[keep]
+
+
+def encode_all(payloads: list[np.ndarray]) -> list[bytes]:
+    """RIFF files of images, each a payload of samples, red, green and blue, in rows of WIDTH pixels."""
     n = len(payloads)
     if not n:
         return []
-    sizes = np.array([len(p) for p in payloads])
-    codes, bits, heads = np.zeros((n, 256), np.uint64), np.zeros((n, 256), np.int64), []
-    for i, p in enumerate(payloads):
-        lengths = code_lengths(np.bincount(p, minlength=256))
-        heads.append(head(width, len(p) // width, lengths))
-        used = [s for s, k in enumerate(lengths) if k]
-        if len(used) > 1:
-            k = np.array(lengths)
-            order = np.lexsort((np.arange(256), k))[256 - len(used) :]
-            kk = k[order]
-            most = int(kk.max())
-            code = np.concatenate(([0], np.cumsum(np.left_shift(1, most - kk))[:-1])) >> (most - kk)
-            codes[i, order] = [_reversed(b)[c] for b, c in zip(kk.tolist(), code.tolist())]
-            bits[i, order] = kk
-    flat = np.concatenate(payloads)
-    index = np.repeat(np.arange(n) << 8, sizes) + flat
-    k = bits.ravel()[index]
-    total = np.add.reduceat(k, np.cumsum(sizes) - sizes)
-    lengths = -(-(np.array([h[1] for h in heads]) + total) // 64) + 1  # in words
-    begin = np.cumsum(lengths) - lengths
+    writers, images = [], []
+    for p in payloads:
+        c = p.reshape(-1, 3).astype(np.uint32)
+        px = np.uint32(0xFF000000) | c[:, 0] << np.uint32(16) | c[:, 1] << np.uint32(8) | c[:, 2]
+        w = Writer()
+        w.put(0x2F | WIDTH - 1 << 8 | len(px) // WIDTH - 1 << 22, 40)  # no alpha, version 0
+        if len(np.unique(px[:64])) <= PALETTE and len(colours := np.unique(px)) <= PALETTE:
+            put_palette(w, colours)
+            k = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+            index = np.searchsorted(colours, px).astype(np.uint32).reshape(-1, 1 << k)
+            px = (index << (np.arange(1 << k, dtype=np.uint32) * np.uint32(8 >> k))).sum(1, dtype=np.uint32) << np.uint32(8)
+        w.put(0, 1)  # no further transform
+        writers.append(w)
+        images.append(px)
+    sizes = np.array([len(px) for px in images])
+    begin = np.cumsum(sizes) - sizes
+    flat, of = np.concatenate(images), np.repeat(np.arange(n), sizes)
+    first, size, far = copies(flat, of)
+    inside = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(inside, first, 1)
+    np.add.at(inside, first + size, -1)
+    free = np.cumsum(inside[:-1]) == 0
+    cache_bits = np.zeros(n, np.int64)
+    for least, bits in reversed(CACHES):
+        cache_bits[sizes >= least] = bits
+    slot = (((flat.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> (32 - cache_bits[of]).astype(np.uint64)).astype(np.int64)
+    prior = _before(of << CACHES[0][1] | slot)
+    hit = free & (prior >= 0) & (flat[prior] == flat)
+    cache_bits[np.add.reduceat(hit, begin, dtype=np.int64) < CACHE_SHARE * np.maximum(1, np.add.reduceat(free, begin, dtype=np.int64))] = 0
+    hit &= cache_bits[of] > 0
+    # One token for each free pixel and each copy.
+    kind = np.where(hit, 1, 0)
+    kind[first] = 2
+    token = np.flatnonzero(free | (kind == 2))
+    kind, image, px = kind[token], of[token], flat[token]
+    length, far_of = (np.ones(len(flat), np.int64) for _ in range(2))
+    length[first], far_of[first] = size, far + len(NEAR)
+    ls, lk, lx = prefix_of(length[token])
+    ds, dk, dx = prefix_of(far_of[token])
+    green = np.choose(kind, ((px >> np.uint32(8) & np.uint32(255)).astype(np.int64), 256 + LENGTHS + slot[token], 256 + ls))
+    red, blue = (px >> np.uint32(16) & np.uint32(255)).astype(np.int64), (px & np.uint32(255)).astype(np.int64)
+    is_literal, is_copy = kind == 0, kind == 2
+    count = lambda s, chosen, most: np.bincount((image * most + s)[chosen], minlength=n * most).reshape(n, most)
+    tallies = count(green, slice(None), GREENS), count(red, is_literal, 256), count(blue, is_literal, 256), count(ds, is_copy, DISTANCES)
+    bits = [np.zeros(t.shape, np.int64) for t in tallies]
+    codes = [np.zeros(t.shape, np.uint64) for t in tallies]
+    for i, w in enumerate(writers):
+        b = int(cache_bits[i])
+        w.put(1 | b << 1 if b else 0, 5 if b else 1)
+        w.put(0, 1)  # one group of codes
+        greens = 256 + LENGTHS + (1 << b if b else 0)
+        for j in (0, 1, 2, 4, 3):
+            if j == 4:
+                put_code(w, [*[0] * int(images[i][0] >> np.uint32(24)), 1])
+                continue
+            lengths, bits[j][i, :greens], codes[j][i, :greens] = prefix_codes(tallies[j][i, :greens])
+            put_code(w, lengths)
+    zero = np.zeros(len(token), np.int64)
+    pick = lambda table, s: table.ravel()[image * table.shape[1] + s]
+    choose = lambda lit, cop: np.where(is_literal, lit, np.where(is_copy, cop, zero.astype(cop.dtype)))
+    k = np.stack([pick(bits[0], green), choose(pick(bits[1], red), lk), choose(pick(bits[2], blue), pick(bits[3], ds)), np.where(is_copy, dk, 0)], 1).ravel()
+    value = np.stack([pick(codes[0], green), choose(pick(codes[1], red), lx.astype(np.uint64)), choose(pick(codes[2], blue), pick(codes[3], ds)), np.where(is_copy, dx, 0).astype(np.uint64)], 1).ravel()
+    return _streams(writers, value, k, np.searchsorted(image, np.arange(n)) * 4)
+
+
+def _streams(writers: list[Writer], value: np.ndarray, k: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """RIFF files: what each writer has, then the values of its image, k bits each; an image's values begin at first."""
+    total = np.add.reduceat(k, first)
+    lead = np.array([w.at for w in writers])
+    size = -(-(lead + total) // 64) + 1  # in words
+    begin = np.cumsum(size) - size
     pos = np.cumsum(k) - k
-    pos += np.repeat(begin * 64 + [h[1] for h in heads] - pos[np.cumsum(sizes) - sizes], sizes)
-    value = codes.ravel()[index] << (pos & 31).astype(np.uint64)
+    pos += np.repeat(begin * 64 + lead - pos[first], np.diff(np.append(first, len(k))))
     half = pos >> 5
-    first = np.flatnonzero(np.concatenate(([True], half[1:] != half[:-1])))
-    sums = np.add.reduceat(value, first)
-    buf = np.zeros(int(lengths.sum()) * 2 + 1, np.uint64)
-    at = half[first]
-    buf[at] += sums & np.uint64(0xFFFFFFFF)
-    buf[at + 1] += sums >> np.uint64(32)
-    raw = buf.astype("<u4").tobytes()
-    out = []
-    for i, (h, hb) in enumerate(heads):
-        b, size = int(begin[i]) * 8, -(-(hb + int(total[i])) // 8)
-        body = bytearray(raw[b : b + size])
-        lead = h.to_bytes(-(-hb // 8), "little")
-        body[: len(lead)] = (int.from_bytes(body[: len(lead)], "little") | h).to_bytes(len(lead), "little")
+    new = np.flatnonzero(np.concatenate(([True], half[1:] != half[:-1])))
+    sums = np.add.reduceat(value << (pos & 31).astype(np.uint64), new)
+    buf = np.zeros(int(size.sum()) * 2 + 1, np.uint64)
+    buf[half[new]] += sums & np.uint64(0xFFFFFFFF)
+    buf[half[new] + 1] += sums >> np.uint64(32)
+    raw, out = buf.astype("<u4").tobytes(), []
+    for w, b, t in zip(writers, begin.tolist(), total.tolist()):
+        body = bytearray(raw[8 * b : 8 * b + -(-(w.at + t) // 8)])
+        lead = w.bytes()
+        body[: len(lead)] = (int.from_bytes(body[: len(lead)], "little") | w.n).to_bytes(len(lead), "little")
         odd = len(body) & 1
         out.append(b"RIFF" + struct.pack("<I", 12 + len(body) + odd) + b"WEBPVP8L" + struct.pack("<I", len(body)) + bytes(body) + bytes(odd))
     return out
@@ -592,7 +791,7 @@ def store(payloads: list[bytes]) -> list[bytes]:
             strips.append(a[k : k + UNIT * STRIP_ROWS])
             owner.append(i)
     out: list[list[bytes]] = [[] for _ in payloads]
-    for i, f in zip(owner, encode_greys(strips)):
+    for i, f in zip(owner, encode_all(strips)):
         out[i].append(f)
     return [b"".join(x) for x in out]
 
@@ -607,8 +806,8 @@ def load(media: list[bytes]) -> list[bytes]:
             owner.append(i)
             m = m[end:]
     out: list[list[bytes]] = [[] for _ in media]
-    for i, g in zip(owner, decode_greys(streams)):
-        out[i].append(g.tobytes())
+    for i, px in zip(owner, decode_all(streams)):
+        out[i].append(_channels(px)[:, 2::-1].tobytes())
     return [b"".join(x) for x in out]
 
 
@@ -629,7 +828,7 @@ def to_media(df: DataFrame, column: str = "text", to: str = "media") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sub_batches(batch, column):
+            for part in sub_batches(batch, column, SLICE):
                 media = store([padded((t or "").encode()) for t in part.column(column).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], names=[*part.schema.names, to])
 
@@ -642,7 +841,7 @@ def from_media(df: DataFrame, column: str = "media", to: str = "pixels") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sub_batches(batch, column):
+            for part in sub_batches(batch, column, SLICE):
                 found = load([m or b"" for m in part.column(column).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, to])
 
@@ -650,21 +849,19 @@ def from_media(df: DataFrame, column: str = "media", to: str = "pixels") -> Data
 
 
 def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores every document as lossless WebP, reads it back, and tells what was read."""
+    """Stores every document as lossless WebP, a column of a table, reads that back, and tells what was read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), "text")
+    held = Scratch(spark, "media").keep(to_media(docs).drop("text"), "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sub_batches(batch, "text"):
-                raw = [(t or "").encode() for t in part.column("text").to_pylist()]
-                media = store([padded(x) for x in raw])
-                back = load(media)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([len(x) for x in back], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in back]),
-                        pa.array([zlib.crc32(x[-32:]) for x in back], pa.int64()), pa.array([len(x) for x in media], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in media]), pa.array([feature(x) for x in back]),
-                    ],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-                )
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+        for x in batches:
+            back, media = x.column("pixels").to_pylist(), x.column("media").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    x.column("doc_id"), x.column("n_bytes"), pa.array([len(p) for p in back], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in back], pa.string()),
+                    pa.array([zlib.crc32(p[-32:]) for p in back], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), pa.array([feature(p) for p in back], pa.string()),
+                ],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            )
+
+    return from_media(held).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

@@ -46,10 +46,69 @@ def test_payloads_round_trip(payloads):
     assert webp.load(webp.store(padded)) == padded
 
 
+def _streams(media):
+    while media:
+        stream, end = webp.open_webp(media)
+        yield stream
+        media = media[end:]
+
+
 def test_stored_form_by_the_general_decoder():
     p = webp.padded(bytes(random.Random(1).choices(range(256), weights=range(1, 257), k=3000)))
     px = webp.decode(webp.store([p])[0])
-    assert px[:, :, 0].tobytes() == p and (px[:, :, 0] == px[:, :, 2]).all() and (px[:, :, 3] == 255).all()
+    assert px.shape == (6, 192, 4) and px[:, :, :3].tobytes() == p and (px[:, :, 3] == 255).all()
+
+
+def test_stored_images_use_the_method(monkeypatch):
+    """The documents' own images have back-references, colour caches and palettes, read by both decoders alike."""
+    texts = [r[0] for r in duckdb.sql("SELECT coalesce(text, '') FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()] + ["", "ab" * 900]
+    payloads = [webp.padded(t.encode()) for t in texts]
+    streams = [s for m in webp.store(payloads) for s in _streams(m)]
+    seen, extra = Counter(), webp._extra
+
+    def counted(bits, s):
+        seen["copies"] += 1
+        return extra(bits, s)
+
+    monkeypatch.setattr(webp, "_extra", counted)
+    heads = [webp.start(s) for s in streams]
+    for (_, h), s in zip(heads, streams):
+        seen["caches"] += h.cache > 0
+        seen["palettes"] += any(t[0] == 3 for t in h.transforms)
+        seen["hits"] += h.cache > 0 and h.codes[0][0].bits > 0 and int((h.codes[0][0].table & 0xFFFF).max()) >= 280
+    assert all((a == webp.undo(h, webp.pixels(bits, h))).all() for a, (bits, h) in zip(webp.decode_all(streams), heads))
+    assert seen["copies"] > len(texts) and seen["caches"] > len(texts) / 2 and seen["hits"] > len(texts) / 2 and seen["palettes"] >= 2, seen
+
+
+def test_caches_make_images_smaller(monkeypatch):
+    text = duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE length(text) BETWEEN 4000 AND 9000 ORDER BY doc_id LIMIT 20").fetchall()
+    payloads = [webp.padded(t.encode()) for (t,) in text]
+    with_cache = sum(map(len, webp.store(payloads)))
+    monkeypatch.setattr(webp, "CACHE_SHARE", 2.0)
+    without = webp.store(payloads)
+    assert webp.load(without) == payloads and with_cache < sum(map(len, without))
+
+
+def test_copies_at_the_edges():
+    rng = random.Random(5)
+    for n in (1, 2, 3, 192, 6144, 6145, 9000):
+        for make in (lambda: b"\xff" * 3 * n, lambda: bytes(rng.choices(b"ab", k=3 * n)), lambda: (rng.randbytes(30) * n)[: 3 * n]):
+            p = webp.padded(make())
+            assert webp.load(webp.store([p, p[:576]])) == [p, p[:576]]
+
+
+def test_a_copy_from_outside_is_refused():
+    p = webp.padded(b"abcdefgh" * 200)
+    good = webp.store([p])[0]
+    rng, refused = random.Random(2), 0
+    for _ in range(200):
+        bad = bytearray(good)
+        bad[rng.randrange(20, len(bad))] ^= 1 << rng.randrange(8)
+        try:
+            webp.load([bytes(bad)])
+        except (webp.BadImage, struct.error):
+            refused += 1
+    assert refused
 
 
 class Encoder:
