@@ -84,6 +84,16 @@ def buckets_for(df: DataFrame) -> int:
     return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(input_bytes(df) // BUCKET_BYTES, MOST_BUCKETS))
 
 
+def free(names: list[str], taken: list[str]) -> list[str]:
+    """Names for new columns: with __ before them where there is such a column already."""
+    return [f"__{n}" if n in taken else n for n in names]
+
+
+def schema_of(df: DataFrame, *more: str) -> str:
+    """Columns of df and more, as a schema for what a function gives."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
+
+
 def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) over a string column; nulls are empty texts."""
     if isinstance(col, pa.ChunkedArray):

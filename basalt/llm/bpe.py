@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import sub_batches, table
+from .base import free, schema_of, sub_batches, table
 
 #: Bytes of words and tokens that a worker remembers, and of the longest such word; only speed depends on it.
 REMEMBERED, LONGEST_REMEMBERED = 32 << 20, 64
@@ -305,11 +305,11 @@ def told(bpe: WordBPE, text: str, keep: bool) -> tuple[bytes | None, int, str, s
 
 def encode(df: DataFrame, tokenizer_path: str, column: str = "text", to: str = "ids", digest: bool = False, both: bool = False) -> DataFrame:
     """Replaces a text column by its ids, binary of little-endian unsigned 32-bit integers; with digest by n_tokens,
-    ids_sha256 and decoded_sha256, the ids decoded again; with both by all of these. Other columns of these names are replaced too. The tokenizer file, a
-    few MB, is broadcast."""
+    ids_sha256 and decoded_sha256, the ids decoded again; with both by all of these. They have __ before their names where there are such
+    columns already. The tokenizer file, a few MB, is broadcast."""
     made = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} if digest or both else {}
     made = {to: "binary"} | made if both or not digest else made
-    df = df.drop(*(c for c in made if c != column))
+    made = dict(zip(free(list(made), [c for c in df.columns if c != column]), made.values()))
     with open(tokenizer_path, encoding="utf-8") as f:
         held = df.sparkSession.sparkContext.broadcast(f.read())
     keep = [c for c in df.columns if c != column]
@@ -330,8 +330,8 @@ def encode(df: DataFrame, tokenizer_path: str, column: str = "text", to: str = "
 
 
 def decode(df: DataFrame, tokenizer_path: str, column: str = "ids", to: str = "decoded", joined: bool = True) -> DataFrame:
-    """Adds the text of a column of ids, in place of a column of that name; null ids are none."""
-    df = df.drop(to)
+    """Adds the text of a column of ids, with __ before its name where there is such a column; null ids are none."""
+    (to,) = free([to], df.columns)
     with open(tokenizer_path, encoding="utf-8") as f:
         held = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -344,7 +344,7 @@ def decode(df: DataFrame, tokenizer_path: str, column: str = "ids", to: str = "d
                 out.append("".join([d.feed(ids[i : i + PIECE]) for i in range(0, len(ids), PIECE)]) + d.end())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, to])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{to}` string")
+    return df.mapInArrow(run, schema_of(df, f"`{to}` string"))
 
 
 def tokenizer_file(name: str) -> str:

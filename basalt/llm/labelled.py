@@ -6,23 +6,46 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import Scratch
+
 #: The most labelled rows that a classifier is fitted on.
 MOST_FITTED = 2500
+#: The most bytes that their texts have; longer rows are passed over.
+MOST_BYTES = 32 << 20
 
 
 def remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int = MOST_FITTED) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `most` labelled documents whose remainder is not the held-out one.
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int = MOST_FITTED, most_bytes: int = MOST_BYTES) -> tuple[list[str], np.ndarray, float]:
+    """Texts and labels of labelled documents whose remainder is not the held-out one, and what the log odds of label 1 are to be shifted by.
 
-    Rows with a null label or doc_id are left out; of a doc_id's labels the smallest counts."""
+    Half of `most` of each label at most, of those that have a document, by a hash of doc_id; of these as many as have `most_bytes` in all.
+    As labels are drawn apart, their share among all labelled documents is given as the shift. Rows with a null label or doc_id are left
+    out; of a doc_id's labels and texts the smallest count."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(modulus) != held_out))
-    rows = rows.groupBy("doc_id").agg(F.min(label).cast("int").alias("label")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
-    picked = docs.sparkSession.createDataFrame(rows.collect(), "doc_id bigint, label int")
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(most).collect()
-    return [r["text"] for r in found], np.array([r["label"] for r in found], np.int64)
+    rows = rows.groupBy("doc_id").agg(F.min(label).cast("int").alias("label")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    scratch = Scratch(docs.sparkSession, "labelled")
+    rows = scratch.keep(rows, "rows")
+    share = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
+    picked = [r for k in (0, 1) for r in rows.where(F.col("label") == k).orderBy(*order).limit(max(1, most // 2)).collect()]
+    picked = docs.sparkSession.createDataFrame(picked, "doc_id bigint, label int")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = scratch.keep(found, "texts")
+    sizes = found.select("doc_id", F.octet_length("text").alias("size"), order[0].alias("place")).orderBy("place", "doc_id").collect()
+    room, chosen = most_bytes, []
+    for r in sizes:
+        if r["size"] <= room:
+            chosen.append((r["doc_id"],))
+            room -= r["size"]
+    some = found.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id bigint")), "doc_id").orderBy("doc_id").collect()
+    y = np.array([r["label"] for r in some], np.int64)
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    shift = float(np.log(share[1] / share[0]) - np.log(n1 / n0)) if n1 and n0 else 0.0
+    scratch.drop(rows, found)
+    return [r["text"] for r in some], y, shift
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

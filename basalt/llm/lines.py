@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .base import Scratch, buckets_for, table, text_slices
+from .base import Scratch, buckets_for, free, schema_of, table, text_slices
 from .linking import link_members, pick
 from .words import BLANK, LOWER, MIX1, MIX2, mix
 
@@ -387,8 +387,8 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, id_bits: int = 64) -> Da
                 cols[at] = pa.array(kept, pa.string())
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(k, pa.int64())], names=[*names, *counts])
 
-    counts = [c if c not in names else f"__{c}" for c in ("n_lines", "n_removed")]
-    return joined.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", `{c}` bigint" for c in counts))
+    counts = free(["n_lines", "n_removed"], names)
+    return joined.mapInArrow(run, schema_of(docs, *(f"`{c}` bigint" for c in counts)))
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

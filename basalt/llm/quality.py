@@ -4,8 +4,9 @@ Every passage (a line; longer lines are cut every PASSAGE_BYTES at a character)
 words, encoded by a tanh layer, weighted by gated attention, and the weighted mean is scored by a logistic unit:
 a_k = softmax(w . (tanh(V h_k) * sigmoid(U h_k))), score = sigmoid(c . sum(a_k h_k) + d).
 
-Fitted on the driver on at most MOST_FITTED labelled rows; the model is of fixed size. Null and empty texts are one empty passage.
-Without labels of both kinds every score is the share of label 1 (0.5 without any).
+Fitted on the driver on at most MOST_FITTED labelled rows of MOST_BYTES; the model is of fixed size. Null and empty texts are one empty
+passage. Without labels of both kinds every score is the share of label 1 (0.5 without any). Equal texts have equal scores, whatever
+row they are in; of passages of equal weight the first is told. All passages of a text count, whatever its length.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, text_slices
+from .base import free, schema_of, table, text_slices
 from .labelled import MOST_FITTED, Adam, remainder, sample, sigmoid
 from .words import LOWER, hashes, words
 
@@ -132,7 +133,8 @@ class Bags:
         return f["s"], starts[first[keep]] - off[:-1]
 
 
-def fit(texts: list[str], label: np.ndarray) -> Bags:
+def fit(texts: list[str], label: np.ndarray, shift: float = 0.0) -> Bags:
+    """shift: added to the log odds, where label 1 is rarer or more common among all documents than here."""
     n1 = int((label == 1).sum())
     if not n1 or n1 == len(label):
         return Bags({}, np.zeros(FEATURES), np.ones(FEATURES), n1 / len(label) if len(label) else 0.5)
@@ -161,6 +163,7 @@ def fit(texts: list[str], label: np.ndarray) -> Bags:
             bounds = np.concatenate(([0], ends))
             f = model.forward(x[rows], bounds)
             adam.step(model.backward(f, bounds, label[docs]))
+    p["d"] += shift
     return model
 
 
@@ -169,19 +172,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> Bags:
 
 
 def score(docs: DataFrame, model: Bags, column: str = "text") -> DataFrame:
-    """Adds quality_score and quality_passage (the byte at which the passage of greatest weight begins); they replace columns
-    of these names."""
-    docs = docs.drop("quality_score", "quality_passage")
+    """Adds quality_score and quality_passage (the byte at which the passage of greatest weight begins), with __ before their names where
+    there are such columns already."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few KB, whatever the input
     names = docs.columns
+    new = free(["quality_score", "quality_passage"], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in text_slices(batch.column(column)):
                 s, place = held.value.score(buf, off)
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(s), pa.array(place, pa.int64())], names=[*names, "quality_score", "quality_passage"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(s), pa.array(place, pa.int64())], names=[*names, *new])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double, quality_passage bigint")
+    return docs.mapInArrow(run, schema_of(docs, f"`{new[0]}` double", f"`{new[1]}` bigint"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,15 @@ toxic document, the words that toxic documents have significantly more often tha
 Forward and backward passes go over whole texts, many texts a step; the marginals give toxic spans (byte offsets)
 and, by their greatest and their sum, the document's score, a logistic function fitted on the documents' labels.
 
-Fitted on the driver, on at most MOST_FITTED labelled rows; the model is of fixed size. Without labels of both kinds every
-score is the toxic share (0.5 without any). Null and empty texts have the score of a text without toxic words.
+Fitted on the driver, on at most MOST_FITTED labelled rows of MOST_BYTES; the model is of fixed size. Without labels of both kinds every
+score is the toxic share (0.5 without any). Null and empty texts have the score of a text without toxic words; equal texts have equal
+scores and spans, whatever row they are in; spans are bytes of the UTF-8 text. A text is one chain whatever its length: the passes over
+a long one go in as many steps as the root of its words, all its parts together.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, text_slices
+from .base import free, schema_of, table, text_slices
 from .labelled import MOST_FITTED, Adam, remainder, sample, sigmoid
 from .words import LETTER, LOWER, MIX1, MIX2, hashes, mix, spans
 
@@ -33,6 +36,8 @@ TIMES = 4.0
 #: Training chains end after so many words; only fitting cuts them.
 CHAIN, ROUNDS = 64, 40
 SLICE = 4 << 20
+#: Chains of more words are passed over in parts.
+LONG_CHAIN = 1 << 14
 #: Pairs of words whose chances are computed at once in fitting.
 PAIRS = 1 << 17
 
@@ -43,29 +48,61 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return hashes(LOWER[buf], start, end), start, end, at
 
 
-def passes(u: np.ndarray, at: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward log ratios of toxic to clean at each word, whose sum is the marginal's.
-
-    u: log weight of toxic over clean; steps[i, j]: log weight from i to j. Chains advance together, longest first."""
+def forward(u: np.ndarray, at: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Log ratios of toxic to clean at each word, of all that is up to it. Chains advance together, longest first; those of more than
+    LONG_CHAIN words each by itself."""
     size = np.diff(at)
+    f = u.copy()
+    for k in np.flatnonzero(size > LONG_CHAIN).tolist():
+        f[at[k] : at[k + 1]] = _forward_long(u[at[k] : at[k + 1]], steps)
+    size = np.where(size > LONG_CHAIN, 0, size)
     order = np.argsort(-size, kind="stable")
     begin, size = at[:-1][order], size[order]
     most = int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(most), "left")  # chains longer than the step
-    f = u.copy()
     (a, b), (c, d) = np.exp(steps)
     # In weights rather than logs; ratios stay within what exp can hold as u is bounded.
     for t in range(1, most):
         i = begin[: live[t]] + t
         r = np.exp(np.clip(f[i - 1], -60, 60))
         f[i] += np.log((b + r * d) / (a + r * c))
-    back = np.zeros(len(u))
-    last = begin + size - 1
-    for t in range(1, most):
-        i = last[: live[t]] - t
-        r = np.exp(np.clip(u[i + 1] + back[i + 1], -60, 60))
-        back[i] = np.log((c + d * r) / (a + b * r))
-    return f, back
+    return f
+
+
+def _forward_long(u: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """forward() for one chain: a step is a matrix of weights, so parts of the chain are multiplied up side by side, then joined, then
+    passed through from the ratios they begin with."""
+    (a, b), (c, d) = np.exp(steps)
+    n = len(u) - 1
+    width = math.isqrt(n) + 1
+    parts = -(-n // width)
+    e = np.ones(parts * width)
+    e[:n] = np.exp(np.clip(u[1:], -60, 60))
+    e = e.reshape(parts, width).T.copy()
+    p00, p01, p10, p11 = np.ones(parts), np.zeros(parts), np.zeros(parts), np.ones(parts)
+    for x in e:
+        p00, p01, p10, p11 = a * p00 + c * p10, a * p01 + c * p11, x * (b * p00 + d * p10), x * (b * p01 + d * p11)
+        total = p00 + p01 + p10 + p11
+        p00, p01, p10, p11 = p00 / total, p01 / total, p10 / total, p11 / total
+    low, high = np.exp(-60.0), np.exp(60.0)
+    start = np.empty(parts)
+    r = math.exp(min(max(float(u[0]), -60.0), 60.0))
+    for k in range(parts):
+        start[k] = r
+        r = min(max((p10[k] + p11[k] * r) / (p00[k] + p01[k] * r), low), high)
+    out, r = np.empty_like(e), start
+    for t, x in enumerate(e):
+        out[t] = r = np.clip(x * (b + r * d) / (a + r * c), low, high)
+    return np.concatenate((u[:1], np.log(out.T.ravel()[:n])))
+
+
+def passes(u: np.ndarray, at: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward log ratios of toxic to clean at each word, whose sum is the marginal's.
+
+    u: log weight of toxic over clean; steps[i, j]: log weight from i to j. Backward is forward on the reverse, without the word's own
+    weight."""
+    back = forward(u[::-1], (at[-1] - at)[::-1], steps.T)[::-1] - u
+    return forward(u, at, steps), back
 
 
 def marginals(u: np.ndarray, at: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -138,18 +175,19 @@ def toxic_words(index: np.ndarray, n: int, at: np.ndarray, label: np.ndarray) ->
     return (k1 / n1 > TIMES * k0 / n0) & (ratio >= SIGNIFICANT)
 
 
-def fit(texts: list[str], label: np.ndarray) -> Field:
+def fit(texts: list[str], label: np.ndarray, shift: float = 0.0) -> Field:
+    """shift: added to the log odds, where label 1 is rarer or more common among all documents than here."""
     n1 = int((label == 1).sum())
     none = np.zeros(0)
     if not n1 or n1 == len(label):
         share = n1 / len(label) if len(label) else 0.5
         return Field(none.astype(np.uint64), none, -6.0, np.zeros((2, 2)), np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0, 0]))
-    hashes, sizes = [], []
+    found, sizes = [], []
     for _, _, buf, off in text_slices(pa.array(texts, pa.large_string())):
         h, _, _, at = tokens(buf, off)
-        hashes.append(h)
+        found.append(h)
         sizes.append(np.diff(at))
-    w, at = np.concatenate(hashes), np.cumsum(np.concatenate([[0], *sizes]))
+    w, at = np.concatenate(found), np.cumsum(np.concatenate([[0], *sizes]))
     doc = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(at))
     words, index, count = np.unique(w, return_inverse=True, return_counts=True)
     toxic = toxic_words(index, len(words), at, label)
@@ -184,7 +222,7 @@ def fit(texts: list[str], label: np.ndarray) -> Field:
         adam.step({"word": word, "common": np.array([gap.sum()]), "steps": both - real + p["steps"]})
     field = Field(words[keyed], p["common"][0] + p["word"][1:], float(p["common"][0]), p["steps"], np.zeros(3))
     most, total = per_text(marginals(field.weigh(w), at, field.steps), at)
-    field.score = calibrate(np.stack([np.ones(len(label)), most, np.log1p(total)]), label)
+    field.score = calibrate(np.stack([np.ones(len(label)), most, np.log1p(total)]), label) + [shift, 0, 0]
     return field
 
 
@@ -203,20 +241,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> Field:
 
 
 def score(docs: DataFrame, field: Field, column: str = "text") -> DataFrame:
-    """Adds toxic_score and toxic_spans (array of byte offsets: start, end, start, end ...) to documents; they replace columns
-    of these names."""
-    docs = docs.drop("toxic_score", "toxic_spans")
+    """Adds toxic_score and toxic_spans (array of byte offsets: start, end, start, end ...) to documents, with __ before their names where
+    there are such columns already."""
     held = docs.sparkSession.sparkContext.broadcast(field)  # about 1 MB, whatever the input
     names = docs.columns
+    new = free(["toxic_score", "toxic_spans"], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = held.value
         for batch in batches:
             for a, b, buf, off in text_slices(batch.column(column), SLICE):
                 s, found = f.tag(buf, off)
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(s), pa.array(found, pa.list_(pa.int64()))], names=[*names, "toxic_score", "toxic_spans"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(s), pa.array(found, pa.list_(pa.int64()))], names=[*names, *new])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxic_score double, toxic_spans array<bigint>")
+    return docs.mapInArrow(run, schema_of(docs, f"`{new[0]}` double", f"`{new[1]}` array<bigint>"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

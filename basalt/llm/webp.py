@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Scratch, sub_batches, table
+from .base import Scratch, free, schema_of, sub_batches, table
 
 UNIT, STRIP_ROWS, PAD = 576, 32, 255
 WIDTH = UNIT // 3
@@ -818,13 +818,9 @@ def feature(payload: bytes) -> str:
     return share.astype(np.uint8).tobytes().hex() + f"-{float(np.abs(np.diff(a.astype(np.int16))).mean()):.4f}"
 
 
-def _schema(df: DataFrame, more: str, drop: tuple[str, ...] = ()) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in drop] + [more])
-
-
 def to_media(df: DataFrame, column: str = "text", to: str = "media") -> DataFrame:
-    """Adds the stored form of a text column, in place of a column of that name."""
-    df = df.drop(to)
+    """Adds the stored form of a text column, with __ before its name where there is such a column."""
+    (to,) = free([to], df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -832,12 +828,12 @@ def to_media(df: DataFrame, column: str = "text", to: str = "media") -> DataFram
                 media = store([padded((t or "").encode()) for t in part.column(column).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], names=[*part.schema.names, to])
 
-    return df.mapInArrow(run, _schema(df, f"`{to}` binary"))
+    return df.mapInArrow(run, schema_of(df, f"`{to}` binary"))
 
 
 def from_media(df: DataFrame, column: str = "media", to: str = "pixels") -> DataFrame:
-    """Adds the samples of a column of stored forms, in place of a column of that name."""
-    df = df.drop(to)
+    """Adds the samples of a column of stored forms, with __ before its name where there is such a column."""
+    (to,) = free([to], df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -845,7 +841,7 @@ def from_media(df: DataFrame, column: str = "media", to: str = "pixels") -> Data
                 found = load([m or b"" for m in part.column(column).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, to])
 
-    return df.mapInArrow(run, _schema(df, f"`{to}` binary"))
+    return df.mapInArrow(run, schema_of(df, f"`{to}` binary"))
 
 
 def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:

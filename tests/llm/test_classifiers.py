@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+from basalt.llm import labelled as labelled_rows
 from basalt.llm import quality, toxicity
 from basalt.llm.queries import QUERIES
 
@@ -103,6 +104,37 @@ def test_marginals_by_all_paths():
         assert np.allclose(p[a:b], weight / total)
 
 
+def test_long_chains_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    steps = rng.normal(size=(2, 2)) * 2
+    at = np.cumsum([0, 5, 900, 0, 1, 37, 2500])
+    u = rng.normal(size=at[-1]) * 5
+    want = toxicity.passes(u, at, steps)
+    monkeypatch.setattr(toxicity, "LONG_CHAIN", 8)
+    assert all(np.allclose(a, b) for a, b in zip(toxicity.passes(u, at, steps), want))
+
+
+def test_samples_are_by_label_and_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 + i % 7)) for i in range(500)] + [(3, "again"), (7, "y" * 5000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 50 == 7)) for i in range(2000)] + [(None, 1), (7, None)], "doc_id bigint, toxic int")
+    texts, y, shift = labelled_rows.sample(docs, labels, "toxic", 5, 0, 60)
+    rare = sum(i % 50 == 7 and zlib.crc32(str(i).encode()) % 5 != 0 for i in range(500))
+    every = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(500))
+    assert (y == 1).sum() == rare and (y == 0).sum() == 30 and len(texts) == len(y)
+    assert np.isclose(shift, np.log(rare / (every - rare)) - np.log(rare / 30))
+    texts, y, _ = labelled_rows.sample(docs, labels, "toxic", 5, 0, 60, 200)
+    assert 0 < sum(map(len, texts)) <= 200
+    assert labelled_rows.sample(docs.limit(0), labels, "toxic", 5, 0)[0] == []
+
+
+def test_columns_of_these_names_stay(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = toxicity.score(docs, toxicity.fit([], np.zeros(0, np.int64)))
+    assert out.columns == [*docs.columns, "__toxic_score", "toxic_spans"] and out.where("__toxic_score = 0.5").count() == docs.count()
+    out = quality.score(out.withColumnRenamed("toxic_spans", "quality_score"), quality.fit([], np.zeros(0, np.int64)))
+    assert out.columns[-2:] == ["__quality_score", "quality_passage"]
+
+
 def test_gradients_of_the_bags():
     rng = np.random.default_rng(1)
     at = np.array([0, 3, 4, 9])

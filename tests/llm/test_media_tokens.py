@@ -35,7 +35,8 @@ def test_webp_query(spark, folder, rows):
 
 def test_media_columns(spark, folder, rows):
     docs = base.table(spark, folder, "documents")
-    out = webp.from_media(webp.to_media(docs)).select("text", "pixels").collect()
+    assert webp.to_media(docs).columns == [*docs.columns, "__media"]
+    out = webp.from_media(webp.to_media(docs), "__media").select("text", "pixels").collect()
     assert all(bytes(r["pixels"]) == webp.padded((r["text"] or "").encode()) for r in out) and len(out) == len(rows)
 
 
