@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity field scores below TOXIC_FROM; it is fitted on labelled ones among docs."""
     field = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select("*", F.col("text").alias("__text")), field, "__text")
-    return scored.where(F.col("toxic_score") < TOXIC_FROM).select(*docs.columns)
+    return scored.where(F.col(scored.columns[-2]) < TOXIC_FROM).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
