@@ -87,11 +87,7 @@ class Lines:
 
     def once(self) -> np.ndarray:
         """Where each line is first."""
-        order = np.lexsort((self.check, self.id))
-        i, c = self.id[order], self.check[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (i[1:] != i[:-1]) | (c[1:] != c[:-1])
-        return np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
+        return _first_of(self.id, self.check)
 
     def bytes(self, k: np.ndarray) -> list[bytes]:
         raw = self.low.tobytes()
@@ -174,12 +170,16 @@ def open_lines(column: pa.Array) -> list[np.ndarray]:
         low = np.concatenate((buf, np.full(WIDTH, 255, np.uint8)))
         for line, start, end in parts(off[:-1], off[1:]):
             values, at = shingles(low, start, end)
-            for k, a, b in zip(line.tolist(), at[:-1].tolist(), at[1:].tolist()):
-                v = np.unique(values[a:b])
-                if first + k < len(out):
-                    out[-1] = np.union1d(out[-1], v)
-                else:
-                    out.append(v)
+            # Sorted all at once: a line's number stands above its shingles.
+            values |= np.repeat((line - line[0]).astype(np.uint64) << np.uint64(8 * CHARS), np.diff(at))
+            values.sort()
+            values = values[np.concatenate(([True], values[1:] != values[:-1]))]
+            cut = np.searchsorted(values, np.arange(line[-1] - line[0] + 2, dtype=np.uint64) << np.uint64(8 * CHARS)).tolist()
+            values &= np.uint64((1 << 8 * CHARS) - 1)
+            sets = [values[i:j] for i, j in zip(cut[:-1], cut[1:])]
+            if first + int(line[0]) < len(out):
+                out[-1] = np.union1d(out[-1], sets.pop(0))
+            out += sets
     return out
 
 
@@ -197,15 +197,35 @@ def contents(docs: DataFrame, ids: DataFrame, id_bits: int = 64) -> DataFrame:
     return pick(found, ids).groupBy("id", "check").agg(F.min("set").alias("set"))
 
 
-def _stars(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs sorted and without repetition, the least id of each pair's key, and how many pairs the key has."""
-    order = np.lexsort((ids, key))
+def _stars(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs: those of keys that have several ids, sorted, once each, with the least id of their key; then key and least id of each
+    key there is, sorted by keys."""
+    order = np.argsort(key)
     key, ids = key[order], ids[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
-    key, ids = key[new], ids[new]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    n = np.diff(np.concatenate((first, [len(key)])))
-    return key, ids, np.repeat(ids[first], n), np.repeat(n, n)
+    least = np.minimum.reduceat(ids, first)
+    n = np.diff(np.append(first, len(key)))
+    several = np.repeat(n > 1, n)
+    k, i, pivot = key[several], ids[several], np.repeat(least, n)[several]
+    order = np.lexsort((i, k))
+    k, i, pivot = k[order], i[order], pivot[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
+    k, i, pivot = k[new], i[new], pivot[new]
+    # What is left alone after that was one id several times.
+    lone = np.ones(len(k), bool)
+    lone[1:] &= k[1:] != k[:-1]
+    lone[:-1] &= k[1:] != k[:-1]
+    return k[~lone], i[~lone], pivot[~lone], key[first], least
+
+
+def _first_of(i: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Where each pair is first."""
+    order = np.lexsort((c, i))
+    i, c = i[order], c[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (i[1:] != i[:-1]) | (c[1:] != c[:-1])
+    return np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
 
 
 def emitted(docs: DataFrame, buckets: int, id_bits: int = 64) -> DataFrame:
@@ -220,7 +240,7 @@ def emitted(docs: DataFrame, buckets: int, id_bits: int = 64) -> DataFrame:
         for batch in batches:
             r, null = batch.column("r").to_numpy(), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             doc_id = batch.column("doc_id").fill_null(0).to_numpy()
-            keys, ids, out = [], [], []
+            keys, ids, checks, out = [], [], [], []
             for a, _, buf, off in text_slices(batch.column("text"), SLICE):
                 x = Lines(buf, off, id_bits)
                 if not len(x.id):
@@ -230,14 +250,14 @@ def emitted(docs: DataFrame, buckets: int, id_bits: int = 64) -> DataFrame:
                 k = x.once()
                 key = keys_of(bin_minima(x.low, x.start[k], x.end[k], BANDS * ROWS)).ravel()
                 keys.append((key >> np.uint64(KEY_BITS)) % np.uint64(buckets) << np.uint64(KEY_BITS) | key & np.uint64((1 << KEY_BITS) - 1))
-                ids.append(np.repeat(x.id[k], BANDS))
+                ids.append(x.id[k])
+                checks.append(x.check[k])
             if keys:
-                key, id_, pivot, n = _stars(np.concatenate(keys), np.concatenate(ids))
-                here = n > 1
-                if here.any():
-                    out.append((-1, pack(key[here], id_[here], pivot[here])))
-                one = id_ == pivot
-                key, id_ = key[one], id_[one]
+                id_ = np.concatenate(ids)
+                once = _first_of(id_, np.concatenate(checks))
+                shared, members, pivot, key, id_ = _stars(np.concatenate(keys).reshape(-1, BANDS)[once].ravel(), np.repeat(id_[once], BANDS))
+                if len(shared):
+                    out.append((-1, pack(shared, members, pivot)))
                 to = (key >> np.uint64(KEY_BITS)).astype(np.int64)
                 cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))).tolist()
                 low = np.ascontiguousarray(key.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
@@ -282,8 +302,7 @@ def members_of(packed: DataFrame) -> DataFrame:
                 wide[:, :few] = np.frombuffer(p, np.uint8, n * few).reshape(n, few)
                 keys.append(wide.view("<u8").ravel() | np.uint64(last << KEY_BITS))
                 ids.append(np.frombuffer(p, np.int64, n, n * few))
-            key, id_, pivot, n = _stars(np.concatenate(keys), np.concatenate(ids))
-            return rows(key[n > 1], id_[n > 1], pivot[n > 1])
+            return rows(*_stars(np.concatenate(keys), np.concatenate(ids))[:3])
 
         for batch in batches:
             for q, p in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
@@ -302,13 +321,14 @@ def members_of(packed: DataFrame) -> DataFrame:
 
 
 class Names:
-    """Nodes for lines: their ids, but for ids that stand for several lines (kinds: id, check, a row a line). These have nodes
-    of their own, and a bucket in which they meet."""
+    """Nodes for lines (id, check): their ids, but for ids that stand for several lines. These have nodes of their own, and a bucket
+    in which they meet. kinds: an id's least and greatest check, lo and hi."""
 
-    def __init__(self, kinds: DataFrame, scratch: Scratch):
-        several = kinds.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-        self.splits = scratch.keep(kinds.join(several, "id").select("id", "check", F.xxhash64("id", "check").alias("node")), "splits")
-        self.none = not self.splits.limit(1).count()
+    def __init__(self, where: DataFrame, kinds: DataFrame, scratch: Scratch):
+        several = kinds.where("lo <> hi").select("id")
+        self.none = not several.limit(1).count()
+        if not self.none:
+            self.splits = scratch.keep(where.select("id", "check").join(several, "id").distinct().withColumn("node", F.xxhash64("id", "check")), "splits")
 
     def named(self, df: DataFrame) -> DataFrame:
         """Rows with id and check: id becomes the node, check goes."""
@@ -318,6 +338,8 @@ class Names:
 
     def each(self, df: DataFrame, column: str) -> DataFrame:
         """A row for each node that an id of the column stands for."""
+        if self.none:
+            return df
         s = self.splits.select(F.col("id").alias("__i"), "node")
         return df.join(s, F.col(column) == F.col("__i"), "left").withColumn(column, F.coalesce("node", column)).drop("__i", "node")
 
@@ -341,23 +363,23 @@ def line_spans(docs: DataFrame, percent: int = PERCENT, id_bits: int = 64) -> Da
     scratch = Scratch(docs.sparkSession, "lines")
     packed = scratch.keep(emitted(docs, buckets_for(docs), id_bits), "packed")
     where = scratch.keep(places(packed), "places")
-    place = F.struct("doc_id", "r", "line")
-    kinds = scratch.keep(where.groupBy("id", "check").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "kinds")
-    names = Names(kinds, scratch)
+    kinds = scratch.keep(where.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi")), "kinds")
+    names = Names(where, kinds, scratch)
     members = scratch.keep(names.members(members_of(packed)), "members")
     scratch.drop(packed)
-    size = members.groupBy("key").agg(F.count_distinct("id").alias("n")).where("n > 2").select("key")
+    size = scratch.keep(members.groupBy("key").agg(F.count_distinct("id").alias("n")).where("n > 2").select("key"), "size")
     large = members.join(size, "key", "left_semi").select("key", "id").distinct()
     roots = link_members(members, large, lambda ids: names.sets(docs, ids, id_bits), percent, scratch, open_lines, 1)
     scratch.drop(members)
-    known = names.named(kinds.select("id", "check", F.col("id").alias("line_id"), F.col("check").alias("line_check"), "n", "first"))
-    known = known.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    known = scratch.keep(known.select("root", "line_id", "line_check", "n", "first"), "rooted")
-    firsts = known.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1").select("root", "keep")
-    of = known.join(firsts, "root").select(F.col("line_id").alias("id"), F.col("line_check").alias("check"), "keep")
-    gone = where.join(of, ["id", "check"]).where(~place.eqNullSafe(F.col("keep"))).select("r", "doc_id", "line")
+    # Most lines occur once and are like no other: no place of theirs is of interest.
+    wanted = names.each(kinds.where("n > 1").select("id"), "id").union(roots.select("id")).union(roots.select("root")).distinct()
+    some = pick(names.named(where), scratch.keep(wanted, "wanted")).drop("__id")
+    some = scratch.keep(some.join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "r", "doc_id", "line"), "rooted")
+    place = F.struct("doc_id", "r", "line")
+    firsts = scratch.keep(some.groupBy("root").agg(F.count(F.lit(1)).alias("total"), F.min(place).alias("keep")).where("total > 1").select("root", "keep"), "firsts")
+    gone = some.join(firsts, "root").where(~place.eqNullSafe(F.col("keep"))).select("r", "doc_id", "line")
     out = scratch.keep(gone.groupBy("r", "doc_id").agg(F.collect_set("line").alias("lines")), "gone")
-    scratch.drop(where, kinds, known)
+    scratch.drop(where, kinds, some)
     return out
 
 

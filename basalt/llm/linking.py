@@ -27,6 +27,8 @@ BLOCK_SHINGLES, SET_LEAST = 1 << 17, 128
 COLUMNS = 4096
 #: Pairs whose sets are open at once, and bytes that their sets have at most, but for a single pair.
 PAIRS, PAIR_BYTES = 1024, 1 << 22
+#: Sets of a block up to which they are compared pair by pair.
+FEW = 12
 #: So many ids (8 bytes each) are broadcast at most to pick rows; beyond, they are joined.
 MOST_BROADCAST = 1_000_000
 
@@ -132,16 +134,79 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     a, b = (blocks.select(F.col("key").alias(f"{s}k"), F.col("block").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi")) for s in "ab")
     two = a.join(b, (F.col("ak") == F.col("bk")) & (F.col("a") <= F.col("b"))).where("not (alo = ahi and blo = bhi and alo = blo)")
     tasks = two.select(F.col("ak").alias("key"), "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    rows = m.join(tasks, ["key", "block"]).join(sets, "id").select("key", "a", "b", "id", "root", "set")
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, root = table.column("id").to_pylist(), table.column("root").to_pylist()
-        shipped = table.column("set").combine_chunks()
-        same = (lambda i, j: exact(shipped[i].as_py(), shipped[j].as_py())) if exact else None
-        found = [(ids[i], ids[j]) for i, j in links(opened(shipped), root, percent, same)]
-        return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
-
-    return rows.groupBy("key", "a", "b").applyInArrow(run, "u bigint, v bigint")
+    rows = m.join(tasks, ["key", "block"]).join(sets, "id").select(F.xxhash64("key", "a", "b").alias("to"), "key", "a", "b", "id", "root", "set")
+    return rows.repartition("to").sortWithinPartitions("to", "key", "a", "b").drop("to").mapInArrow(lambda batches: _linked(batches, percent, opened, exact), "u bigint, v bigint")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Whole groups of key, a and b, as many together as come in a batch, and where each begins; a group's rows follow each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def cuts(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.logical_or.reduce([np.diff(t.column(c).to_numpy()) != 0 for c in ("key", "a", "b")])
+        return np.flatnonzero(new)
+
+    def out() -> tuple[pa.Table, list[int]]:
+        t = pa.Table.from_batches(held)
+        return t, [*cuts(t).tolist(), t.num_rows]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = cuts(batch)
+        names = [tuple(batch.column(c)[i].as_py() for c in ("key", "a", "b")) for i in (0, int(at[-1]))]
+        # The last group may go on in the next batch.
+        if names[0] == last:
+            end = int(at[1]) if len(at) > 1 else batch.num_rows
+            held.append(batch.slice(0, end))
+            batch = batch.slice(end)
+            at = at[1:] - end
+        if batch.num_rows:
+            if held:
+                yield out()
+            held = []
+            if at[-1]:
+                held = [batch.slice(0, int(at[-1]))]
+                yield out()
+            held = [batch.slice(int(at[-1]))]
+        last = names[1]
+    if held:
+        yield out()
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int, opened: Opened, exact: Exact | None) -> Iterator[pa.RecordBatch]:
+    for t, at in _groups(batches):
+        ids, root = t.column("id").to_pylist(), t.column("root").to_pylist()
+        found: list[tuple[int, int]] = []
+        k = 0
+        while k + 1 < len(at):
+            # Some groups together: a set that is in several of them is opened once.
+            j = k + 1
+            while j + 1 < len(at) and at[j + 1] - at[k] <= PAIRS:
+                j += 1
+            part = t.column("set").slice(at[k], at[j] - at[k]).combine_chunks().dictionary_encode()
+            held, which = opened(part.dictionary), part.indices.to_pylist()
+            for a, b in zip(at[k:j], at[k + 1 : j + 1]):
+                here = which[a - at[k] : b - at[k]]
+                same = (lambda x, y, here=here, part=part: exact(part.dictionary[here[x]].as_py(), part.dictionary[here[y]].as_py())) if exact else None
+                find = few_links if b - a <= FEW else links
+                found += [(ids[a + x], ids[a + y]) for x, y in find([held[x] for x in here], root[a:b], percent, same)]
+            k = j
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
+
+
+def few_links(sets: list[np.ndarray], root: list[int], percent: int, exact: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """links() pair by pair, for a few sets."""
+    root, out = root[:], []
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            if root[i] != root[j] and similar(sets[i], sets[j], percent) and (exact is None or exact(i, j)):
+                out.append((i, j))
+                old, new = root[j], root[i]
+                root = [new if r == old else r for r in root]
+    return out
 
 
 def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, opened: Opened, unit: int, exact: Exact | None = None) -> DataFrame:
