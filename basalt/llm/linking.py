@@ -114,7 +114,7 @@ def _dealt(m: DataFrame, scratch: Scratch) -> DataFrame:
     small ones are together, a root in one block."""
     per = scratch.keep(m.groupBy("key", "root").agg(F.sum(F.col("size") + SET_LEAST).alias("w")), "weights")
     small = per.where(F.col("w") <= BLOCK_SHINGLES).groupBy("key").agg(F.ceil(F.sum("w") / BLOCK_SHINGLES).alias("pools"))
-    per = scratch.keep(per.join(small, "key", "left"), "dealt")
+    per = scratch.keep(per.join(scratch.keep(small, "pools"), "key", "left"), "dealt")
     joined = m.join(per, ["key", "root"])
     own = F.xxhash64("root", F.pmod(F.xxhash64("id"), F.ceil(F.col("w") / BLOCK_SHINGLES)))
     pool = F.pmod(F.xxhash64("root"), F.col("pools"))

@@ -100,6 +100,8 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "u bigint, v bigint")
     found = {r["id"]: r["root"] for r in components.components(df, base.Scratch(spark, "t")).collect()}
     assert found == {x: u.find(x) for x in u.p if u.find(x) != x}
+    one = {r["u"]: r["v"] for r in components._local(df.coalesce(1)).collect()}
+    assert one == found
     assert components.components(df.limit(0), base.Scratch(spark, "t")).count() == 0
 
 
