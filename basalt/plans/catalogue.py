@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_to_timestamp, vsize
+from ..operators import flatten
 from ..operators.checks import CHECKS, fee_summary, size_summary
+from ..sources.store import plan
 from . import oracle
 from .bridge import ledger_of, raw_of
 from .explore import EXPLORE
@@ -39,10 +41,19 @@ def _merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Heights still to build: raw ones without a partition in one of the datasets, here outputs, of heights under 50."""
+    """What the planner says is still to build, where outputs have partitions of heights under 50 alone."""
     led = ledger_of(spark, sf)
-    done = led.blocks.select("block_height").join(led.outputs.where("block_height < 50").select("block_height").distinct(), "block_height", "left_semi")
-    return led.blocks.select("block_height").distinct().join(done, "block_height", "left_anti")
+    heights = lambda df: {r[0] for r in df.select("block_height").distinct().collect()}
+    done = set.intersection(heights(led.blocks), heights(led.transactions), heights(led.inputs), heights(led.outputs.where("block_height < 50")))
+    return spark.createDataFrame([(h,) for h in plan(None, heights(led.blocks), done)["todo"]], "block_height bigint")
+
+
+def _flat(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A dataset flattened out of the nested ledger."""
+    raw = raw_of(spark, sf)
+    if name == "blocks":
+        return flatten.blocks(raw.blocks)
+    return getattr(flatten, name)(raw.transactions.withColumns({"block_height": F.col("status.block_height"), "block_hash": F.col("status.block_hash")}))
 
 
 def _props(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,6 +66,7 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for n in DATA:
         out[f"ds_{n}"] = lambda s, d, n=n: getattr(ledger_of(s, d), n)
+        out[f"f_{n}"] = lambda s, d, n=n: _flat(s, d, n)
     for c in CHECKS:
         out[c.name] = lambda s, d, c=c: c.rows(_window(s, d, "dirty"))
     out["g26_coverage"] = lambda s, d: fee_summary(_window(s, d, "dirty"))
@@ -117,6 +129,10 @@ TESTS = tuple(_test_sql())
 
 def oracle_sql() -> dict[str, str]:
     out = {f"ds_{n}": oracle.clean(f"SELECT * FROM {n}") for n in DATA}
+    out |= {f"f_{n}": oracle.clean(f"SELECT * FROM {n}") for n in DATA}
+    out["f_transactions"] = oracle.clean("SELECT * REPLACE (CAST(ceil(weight_units / 4.0) AS BIGINT) AS vsize) FROM transactions")
+    # Outputs are numbered by their place; the bridge's own numbers have gaps.
+    out["f_outputs"] = oracle.clean("SELECT * REPLACE (row_number() OVER (PARTITION BY txid ORDER BY output_index) - 1 AS output_index) FROM outputs")
     for c in CHECKS:
         out[c.name] = oracle.dirty(oracle.GATE[f"g{c.number:02d}"])
     out["g26_coverage"] = oracle.dirty(oracle.FEE_COVERAGE)

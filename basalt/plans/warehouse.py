@@ -42,34 +42,73 @@ def check_unique(staged: DataFrame, keys: list[str]) -> None:
 
 @dataclass
 class Raw:
-    """Raw tables as versions in folders, the current one named by a table property: a reader never sees half a load."""
+    """Raw tables by height, in a folder for each load, and versions that say which load has a height's rows.
+
+    A version is a small table of (load, block_height), written as a whole and numbered; the highest one that is complete is the
+    current one. So a reader sees a load or none of it, a load that breaks off leaves the version before as it was, and heights that a
+    load does not touch are not written again."""
 
     spark: SparkSession
     root: str
-    current: dict[str, str] = field(default_factory=dict)
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def version(self, name: str) -> str | None:
-        fs, p = self._fs(self._pointer(name))
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(self._pointer(name)).first()[0]
-
-    def read(self, name: str) -> DataFrame:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in DATASETS[name]) + ", loaded_at timestamp_ntz, source_file_name string"
-        v = self.version(name)
-        return self.spark.createDataFrame([], schema) if v is None else self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{v}")
-
-    def publish(self, name: str, df: DataFrame) -> None:
-        v = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/{v}")
-        self.spark.createDataFrame([(v,)], "v string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of complete versions, those that have the marker Spark writes last."""
+        fs, p = self._fs(f"{self.root}/{name}/versions/*/_SUCCESS")
+        return sorted(int(s.getPath().getParent().getName()) for s in fs.globStatus(p) or [])
+
+    def version(self, name: str) -> int | None:
+        return max(self._versions(name), default=None)
+
+    def schema(self, name: str) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in DATASETS[name]) + ", loaded_at timestamp_ntz, source_file_name string"
+
+    def placed(self, name: str) -> dict[str, list[int]]:
+        """Heights by the load that has their rows."""
+        v, out = self.version(name), {}
+        if v is not None:
+            for r in self.spark.read.schema("load string, block_height bigint").parquet(f"{self.root}/{name}/versions/{v}").collect():
+                out.setdefault(r["load"], []).append(r["block_height"])
+        return out
+
+    def read(self, name: str, heights: set[int] | None = None) -> DataFrame:
+        """The table, or these heights of it alone."""
+        schema = self.schema(name)
+        out = self.spark.createDataFrame([], schema)
+        for load, held in sorted(self.placed(name).items()):
+            held = [h for h in held if heights is None or h in heights]
+            if held:
+                df = self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{load}").where(F.col("block_height").isin(held))
+                out = out.unionByName(df.select(*out.columns))
+        return out
+
+    def touched(self, name: str, staged: DataFrame, keys: list[str]) -> set[int]:
+        """Heights that hold rows of the staged keys, and those of the staged rows."""
+        old = self.read(name).select("block_height", *[k for k in keys if k != "block_height"])
+        old = old.join(staged.select(*keys).distinct(), keys, "left_semi").select("block_height")
+        return {r[0] for r in old.union(staged.select("block_height")).distinct().collect()}
+
+    def publish(self, name: str, df: DataFrame, heights: set[int]) -> None:
+        """Makes df the rows of these heights. Loads of which no height is left, and versions before the last, go."""
+        load, before = f"load-{uuid.uuid4().hex}", self.placed(name)
+        df.repartition("block_height").write.partitionBy("block_height").parquet(f"{self.root}/{name}/{load}")
+        rows = [(x, h) for x, held in before.items() for h in held if h not in heights] + [(load, h) for h in sorted(heights)]
+        known = self._versions(name)
+        self.spark.createDataFrame(rows, "load string, block_height bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/versions/{max(known, default=0) + 1}")
+        used = {x for x, _ in rows} | set(before)  # readers of the version before may still be at it
+        for old in known[:-1]:
+            self._remove(f"{self.root}/{name}/versions/{old}")
+        fs, p = self._fs(f"{self.root}/{name}/load-*")
+        for s in fs.globStatus(p) or []:
+            if s.getPath().getName() not in used:
+                self._remove(s.getPath().toString())
+
+    def _remove(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
 
 
 @dataclass
@@ -93,7 +132,8 @@ def load_range(raw: Raw, parts: Callable[[str], DataFrame], heights_of: Callable
         try:
             staged = with_load_columns(parts(name).where(F.col("block_height").isin(wanted)))
             check_unique(staged, KEYS[name])
-            raw.publish(name, upsert(raw.read(name), staged, KEYS[name]))
+            touched = raw.touched(name, staged, KEYS[name])
+            raw.publish(name, upsert(raw.read(name, touched), staged, KEYS[name]), touched)
             result.loaded += [(h, name) for h in wanted]
         except Exception as e:  # the dataset is reported; the others go on
             result.failed += [(h, name, str(e)) for h in wanted]

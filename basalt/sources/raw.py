@@ -201,9 +201,21 @@ def heights_glob(root: str, file: str) -> str:
     return f"{root.rstrip('/')}/{'[0-9]' * HEIGHT_DIGITS}/{file}"
 
 
-def read_blocks(spark: SparkSession, root: str) -> DataFrame:
+def _files(root: str, file: str, heights: list[int] | None) -> str | list[str]:
+    """Paths of a file of all heights, or of these alone: others are neither listed nor read."""
+    return heights_glob(root, file) if heights is None else [f"{root.rstrip('/')}/{h:0{HEIGHT_DIGITS}d}/{file}" for h in heights]
+
+
+def heights_with(spark: SparkSession, root: str, file: str) -> set[int]:
+    """Heights that have this file, from listings alone."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(heights_glob(root, file))
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return {int(s.getPath().getParent().getName()) for s in found}
+
+
+def read_blocks(spark: SparkSession, root: str, heights: list[int] | None = None) -> DataFrame:
     """block.json documents, which span lines."""
-    return spark.read.schema(RAW_BLOCK).option("multiLine", True).json(heights_glob(root, "block.json"))
+    return spark.read.schema(RAW_BLOCK).option("multiLine", True).json(_files(root, "block.json", heights))
 
 
 def read_transactions(spark: SparkSession, root: str) -> DataFrame:
@@ -216,10 +228,10 @@ def folder_height() -> F.Column:
     return F.regexp_extract(F.input_file_name(), rf"/(\d{{{HEIGHT_DIGITS}}})/[^/]+$", 1).cast("bigint")
 
 
-def read_ordered_transactions(spark: SparkSession, root: str) -> DataFrame:
+def read_ordered_transactions(spark: SparkSession, root: str, heights: list[int] | None = None) -> DataFrame:
     """Transactions with the folder's height and their place in the file, blank lines aside. A block's file is one row at
     first, as places count within it; a block is small (a few MB), and blocks are spread over tasks."""
-    whole = spark.read.text(heights_glob(root, "txs.jsonl"), wholetext=True).select(folder_height().alias("folder_height"), "value")
+    whole = spark.read.text(_files(root, "txs.jsonl", heights), wholetext=True).select(folder_height().alias("folder_height"), "value")
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     each = whole.select("folder_height", F.posexplode(lines).alias("transaction_index", "line"))
     parsed = each.select("folder_height", "transaction_index", F.from_json("line", RAW_TX, {"mode": "PERMISSIVE"}).alias("t"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,25 +58,44 @@ def complete_heights(spark: SparkSession, root: str) -> set[int]:
     return set.intersection(*(heights(spark, root, n) for n in [*DATASETS, "_complete"]))
 
 
+def plan(wanted: list[int] | None, found: set[int], done: set[int]) -> dict[str, list[int]]:
+    """Of the heights asked for (all that are found, without any): skipped, as they are done, missing_raw, and todo."""
+    asked = sorted(found) if wanted is None else sorted(set(wanted))
+    return {"skipped": [h for h in asked if h in done], "missing_raw": [h for h in asked if h not in done and h not in found], "todo": [h for h in asked if h in found and h not in done]}
+
+
 def build(spark: SparkSession, raw_root: str, root: str, wanted: list[int] | None = None, force: bool = False) -> dict[str, list[int]]:
     """Flattens raw heights into the datasets, all of them in one job per dataset.
 
-    Gives created, skipped (complete already), missing_raw and failed (a required field is missing, or the folder's block is of another
-    height), height by height."""
-    b = raw.read_blocks(spark, raw_root).withColumn("folder_height", raw.folder_height())
-    found = {r["folder_height"]: r["bad"] for r in b.select("folder_height", (flatten.missing_block_field() | (F.col("height") != F.col("folder_height"))).alias("bad")).collect()}
-    asked = sorted(found) if wanted is None else sorted(set(wanted))
-    done = set() if force else complete_heights(spark, root)
-    out = {"skipped": [h for h in asked if h in done], "missing_raw": [h for h in asked if h not in done and h not in found]}
-    todo = [h for h in asked if h in found and h not in done]
-    t = raw.read_ordered_transactions(spark, raw_root).where(F.col("folder_height").isin(todo))
-    bad = {r[0] for r in t.where(flatten.missing_tx_field()).select("folder_height").distinct().collect()} | {h for h in todo if found[h] is not False}
-    good = [h for h in todo if h not in bad]
-    out |= {"failed": sorted(bad & set(todo)), "created": good}
-    if not good:
+    Only files of heights still to build are read, each once: what is parsed of them is written beside the datasets, and all else is made
+    from there. Gives created, skipped (complete already), missing_raw and failed (a required field is missing, or the folder's block
+    is of another height), height by height."""
+    found = raw.heights_with(spark, raw_root, "block.json") & raw.heights_with(spark, raw_root, "txs.jsonl")
+    out = plan(wanted, found, set() if force else complete_heights(spark, root))
+    todo = out.pop("todo")
+    if not todo:
+        return out | {"failed": [], "created": []}
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    try:
+        b = raw.read_blocks(spark, raw_root, todo).withColumn("folder_height", raw.folder_height())
+        b.withColumn("bad", F.coalesce(flatten.missing_block_field() | (F.col("height") != F.col("folder_height")), F.lit(True))).write.parquet(f"{staged}/blocks")
+        t = raw.read_ordered_transactions(spark, raw_root, todo)
+        t.withColumn("bad", flatten.missing_tx_field()).write.parquet(f"{staged}/transactions")
+        b, t = (spark.read.parquet(f"{staged}/{n}") for n in ("blocks", "transactions"))
+        bad = {r[0] for x in (b, t) for r in x.where("bad").select("folder_height").distinct().collect()}
+        bad |= set(todo) - {r[0] for r in b.select("folder_height").collect()}
+        good = [h for h in todo if h not in bad]
+        out |= {"failed": sorted(bad & set(todo)), "created": good}
+        if good:
+            _write(spark, root, b.where(~F.col("folder_height").isin(sorted(bad))), t.where(~F.col("folder_height").isin(sorted(bad))), good)
         return out
-    b = b.where(F.col("folder_height").isin(good))
-    t = t.where(F.col("folder_height").isin(good)).withColumnRenamed("folder_height", "block_height")
+    finally:
+        p = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _write(spark: SparkSession, root: str, b: DataFrame, t: DataFrame, good: list[int]) -> None:
+    t = t.withColumnRenamed("folder_height", "block_height")
     t = t.join(F.broadcast(b.select(F.col("height").alias("block_height"), F.col("id").alias("block_hash"))), "block_height")  # a row per height of this call
     write_dataset(flatten.blocks(b), root, "blocks")
     write_dataset(flatten.transactions(t), root, "transactions")
@@ -82,7 +103,6 @@ def build(spark: SparkSession, raw_root: str, root: str, wanted: list[int] | Non
     write_dataset(flatten.outputs(t), root, "outputs")
     marks = spark.createDataFrame([(h, True) for h in good], "block_height bigint, done boolean")
     marks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block_height").parquet(f"{root}/_complete")
-    return out
 
 
 def row_counts(spark: SparkSession, root: str) -> dict[str, dict[int, int]]:

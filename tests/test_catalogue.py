@@ -11,7 +11,7 @@ from basalt.plans import bridge, catalogue
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-NAMES = ["ds_blocks", "ds_inputs", "g07_chain_linkage_internal", "g20_foreign_input_references", "g26_fee_arithmetic_matches", "g33_outputs_unspent_within_window", "gate_severity", "m02_fees_by_block", "m07_spent_share", "m11_highest_fee_rates", "e06_sample_inputs", "e09_by_block", "w_core_transaction_outputs", "t_relationships_outputs_transactions", "x_upsert_merge", "x_incremental_plan", "x_json_props"]
+NAMES = ["f_blocks", "f_transactions", "f_inputs", "f_outputs", "ds_blocks", "ds_inputs", "g07_chain_linkage_internal", "g20_foreign_input_references", "g26_fee_arithmetic_matches", "g33_outputs_unspent_within_window", "gate_severity", "m02_fees_by_block", "m07_spent_share", "m11_highest_fee_rates", "e06_sample_inputs", "e09_by_block", "w_core_transaction_outputs", "t_relationships_outputs_transactions", "x_upsert_merge", "x_incremental_plan", "x_json_props"]
 
 
 @pytest.fixture(scope="module")

@@ -215,6 +215,72 @@ def test_stream(spark, tmp_path):
         assert store.complete_heights(spark, out) == set(range(1, heights[1] + 1))
 
 
+def test_only_files_of_todo_heights_are_read_once(spark, tmp_path, monkeypatch):
+    root, out = str(tmp_path / "raw"), str(tmp_path / "parquet")
+    raw.ingest_range(Chain({h: 2 for h in range(1, 9)}), 1, 8, root, sleep=lambda s: None)
+    store.build(spark, root, out, [1, 2, 3, 4, 5])
+    read = []
+    for name in ("read_blocks", "read_ordered_transactions"):
+        f = getattr(raw, name)
+        monkeypatch.setattr(raw, name, lambda *a, f=f: (read.append(df := f(*a)), df)[1])
+    assert store.build(spark, root, out, [4, 5, 6, 7])["created"] == [6, 7]
+    files = [sorted(x.split("/")[-2] for x in df.inputFiles()) for df in read]
+    assert files == [["0000006", "0000007"]] * 2
+    assert store.build(spark, root, out, [4, 5, 6, 7])["created"] == [] and len(read) == 2
+    assert not [n for n in os.listdir(out) if n.startswith("_staged")]
+
+
+def _rows(heights, value):
+    return [(h, f"h{h}", f"h{h - 1}", 1, 1, 1, 1, 1.0, "m", value, 1) for h in heights]
+
+
+def test_a_load_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
+    tables = warehouse.Raw(spark, str(tmp_path))
+    staged = lambda heights, v: warehouse.with_load_columns(spark.createDataFrame(_rows(heights, v), DATASETS["blocks"]))
+
+    def load(df):
+        touched = tables.touched("blocks", df, KEYS["blocks"])
+        tables.publish("blocks", warehouse.upsert(tables.read("blocks", touched), df, KEYS["blocks"]), touched)
+
+    seen = lambda: {r["block_height"]: r["nonce"] for r in tables.read("blocks").collect()}
+    assert tables.version("blocks") is None and seen() == {}
+    load(staged([1, 2, 3], 10))
+    create = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, schema=None, **k: 1 / 0 if schema == "load string, block_height bigint" else create(data, schema, **k))
+    with pytest.raises(ZeroDivisionError):
+        load(staged([2, 3, 4], 20))
+    monkeypatch.undo()
+    assert seen() == {1: 10, 2: 10, 3: 10}
+    os.makedirs(tmp_path / "blocks" / "versions" / "9")  # one that broke off before its marker
+    assert tables.version("blocks") == 1 and seen() == {1: 10, 2: 10, 3: 10}
+    load(staged([3, 4], 30))
+    assert seen() == {1: 10, 2: 10, 3: 30, 4: 30}
+
+
+def test_a_load_writes_touched_heights_alone(spark, tmp_path):
+    tables = warehouse.Raw(spark, str(tmp_path))
+    for heights, v in (([1, 2, 3], 1), ([2], 2), ([4], 3), ([1, 3], 4)):
+        df = warehouse.with_load_columns(spark.createDataFrame(_rows(heights, v), DATASETS["blocks"]))
+        touched = tables.touched("blocks", df, KEYS["blocks"])
+        assert touched == set(heights)
+        tables.publish("blocks", warehouse.upsert(tables.read("blocks", touched), df, KEYS["blocks"]), touched)
+    assert sorted((r["block_height"], r["nonce"]) for r in tables.read("blocks").collect()) == [(1, 4), (2, 2), (3, 4), (4, 3)]
+    assert sorted(tables.placed("blocks").values()) == [[1, 3], [2], [4]] and len(tables._versions("blocks")) == 2
+    loads = [n for n in os.listdir(tmp_path / "blocks") if n.startswith("load-")]
+    assert len(loads) == 4  # the first is of the version before
+    plan = tables.read("blocks", {2})._jdf.queryExecution().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_a_row_that_moves_to_another_height(spark, tmp_path):
+    tables = warehouse.Raw(spark, str(tmp_path))
+    t = lambda h: warehouse.with_load_columns(spark.createDataFrame([(h, "b", "tx", 0, 1, 0, 1, 1, 1, 0, False)], DATASETS["transactions"]))
+    for h in (5, 6):
+        touched = tables.touched("transactions", t(h), KEYS["transactions"])
+        tables.publish("transactions", warehouse.upsert(tables.read("transactions", touched), t(h), KEYS["transactions"]), touched)
+    assert [r["block_height"] for r in tables.read("transactions").collect()] == [6]
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (None, "n", 0)], "k bigint, v string, n bigint")
     new = spark.createDataFrame([("B", 2, 21), ("C", 3, 30), ("m", None, 1)], "V string, K int, N int")
