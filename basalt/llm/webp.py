@@ -33,12 +33,12 @@ UNIT, STRIP_ROWS, PAD = 576, 32, 255
 WIDTH = UNIT // 3
 #: The longest prefix code that the encoder makes; the format allows 15.
 LONGEST = 12
-#: Bytes of texts or images that are worked on at once.
-SLICE = 6 << 20
+#: Bytes of texts or images that are worked on at once; some hundred bytes of memory are needed for each.
+SLICE = 2 << 20
 #: The least and most pixels that the encoder copies at once; the format allows 4096.
 LEAST_COPY, MOST_COPY = 3, 4096
 #: Colour caches by an image's pixels (from so many on, bits), and the share of pixels that must hit it.
-CACHES, CACHE_SHARE = ((2048, 10), (512, 9), (128, 7), (32, 5)), 1 / 16
+CACHES, CACHE_SHARE = ((1024, 8), (128, 7), (32, 5)), 1 / 16
 #: Colours of an image that gets a palette, at most.
 PALETTE = 16
 
@@ -115,6 +115,15 @@ def single(symbol: int) -> Code:
     return small_code((0,) * symbol + (1,))
 
 
+@lru_cache(4096)
+def length_code(n: int, lengths: int) -> Code:
+    """The code for code lengths, of which n have three bits each."""
+    own = [0] * 19
+    for i in range(n):
+        own[CODE_LENGTH_ORDER[i]] = lengths >> 3 * i & 7
+    return Code(own)
+
+
 def _reversed(bits: int) -> np.ndarray:
     while len(REVERSED) <= bits:
         n = len(REVERSED)
@@ -210,10 +219,8 @@ def read_code(bits: Bits, size: int) -> Code:
             return single(first)
         second = bits.read(8)
         return single(first) if first == second else small_code(tuple(int(i in (first, second)) for i in range(256)))
-    own = [0] * 19
-    for i in range(4 + bits.read(4)):
-        own[CODE_LENGTH_ORDER[i]] = bits.read(3)
-    code = small_code(tuple(own))
+    n = 4 + bits.read(4)
+    code = length_code(n, bits.read(min(3 * n, 30)) | (bits.read(3 * n - 30) << 30 if n > 10 else 0))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     lengths: list[int] = []
     last = 8
@@ -493,11 +500,11 @@ def pixels_together(streams: list[bytes], heads: list[tuple[Bits, Head]]) -> lis
         while sizes[live - 1] <= t:
             live -= 1
         now = where[:live] + t
-        read = np.flatnonzero(left[:live] == 0)
+        read = (left[:live] == 0).nonzero()[0]
         if len(read):
             a = at[read]
             s, used, window = symbol(0, read, eight[a >> 3] >> (a & 7).astype(np.uint64))
-            literal = np.flatnonzero(s < 256)
+            literal = (s < 256).nonzero()[0]
             if len(literal):
                 lanes, w = read[literal], window[literal]
                 red, k1, w = symbol(1, lanes, w)
@@ -506,7 +513,7 @@ def pixels_together(streams: list[bytes], heads: list[tuple[Bits, Head]]) -> lis
                 out[now[lanes]] = alpha << np.uint32(24) | red << np.uint32(16) | s[literal] << np.uint32(8) | blue
                 used[literal] += k1 + k2 + k3
             if len(literal) < len(read):
-                copy = np.flatnonzero((s >= 256) & (s < 256 + LENGTHS))
+                copy = ((s >= 256) & (s < 256 + LENGTHS)).nonzero()[0]
                 if len(copy):
                     lanes, w = read[copy], window[copy]
                     length, k1 = _prefixed(s[copy] - np.uint32(256), w)
@@ -519,7 +526,7 @@ def pixels_together(streams: list[bytes], heads: list[tuple[Bits, Head]]) -> lis
                         raise BadImage("a copy from outside")
                     left[lanes], back[lanes] = length, d
                     used[copy] += k1 + k2 + k3
-                hit = np.flatnonzero(s >= 256 + LENGTHS)
+                hit = (s >= 256 + LENGTHS).nonzero()[0]
                 if len(hit):
                     lanes = read[hit]
                     if not has_cache[lanes].all():
@@ -530,7 +537,7 @@ def pixels_together(streams: list[bytes], heads: list[tuple[Bits, Head]]) -> lis
                 raise BadImage("the stream ends early")
             at[read] = a
         if len(read) < live or left[:live].any():
-            lanes = np.flatnonzero(left[:live])
+            lanes = left[:live].nonzero()[0]
             out[now[lanes]] = out[now[lanes] - back[lanes]]
             left[lanes] -= 1
         if any_cache:
@@ -560,6 +567,8 @@ def decode_all(streams: list[bytes]) -> list[np.ndarray]:
 GREENS = 256 + LENGTHS + (1 << CACHES[0][1])
 #: Lengths of the code for code lengths: 17 and 18 (runs of zeros) in 3 bits, 1 and 2 in 5, 0 and 3 to 12 in 4 bits.
 OWN = [4, 5, 5, *[4] * 10, *[0] * 4, 3, 3]
+#: A code that is not in short, with 19 lengths of its own code, and no bound on the symbols.
+OWN_HEAD = 15 << 1 | sum(OWN[s] << 5 + 3 * i for i, s in enumerate(CODE_LENGTH_ORDER))
 OWN_TEXT = {s: f"{code:0{k}b}"[::-1] for s, (code, k) in canonical(OWN)[0].items()}
 
 
@@ -585,10 +594,7 @@ def put_code(w: Writer, lengths: list[int]) -> None:
     if len(used) == 1 and used[0] < 256:
         w.put(1 | 0 << 1 | 1 << 2 | used[0] << 3, 11)
         return
-    w.put(0 | 15 << 1, 5)
-    for s in CODE_LENGTH_ORDER:
-        w.put(OWN[s], 3)
-    w.put(0, 1)
+    w.put(OWN_HEAD, 5 + 3 * len(OWN) + 1)
     # As text, from the lowest bit on: quicker than a number that grows.
     out, last = [], -1
     for s in used:
