@@ -83,20 +83,21 @@ class Code:
     """A prefix code to read by: a table of 2^bits entries of length << 16 | symbol."""
 
     def __init__(self, lengths: list[int]):
-        used = np.flatnonzero(lengths).tolist()
-        if not used:
+        n = np.array(lengths)
+        used = n.nonzero()[0]
+        if not len(used):
             raise BadImage("a prefix code without symbols")
         if len(used) == 1:
-            self.bits, self.table, self.only = 0, None, used[0]
+            self.bits, self.table, self.only = 0, None, int(used[0])
             return
-        n = np.array(lengths)[used]
+        n = n[used]
         self.only, self.bits = None, int(n.max())
-        if (np.left_shift(1, self.bits - n)).sum() != 1 << self.bits:
-            raise BadImage("a prefix code that is not complete")
         # Filled in the order of the codes' bits, then read through reversed indexes.
-        order = np.lexsort((used, n))
-        entry = (n << 16 | np.array(used)).astype(np.uint32)[order]
-        flat = np.repeat(entry, np.left_shift(1, self.bits - n[order]))
+        order = np.argsort(n, kind="stable")
+        room = np.left_shift(1, self.bits - n)
+        if int(room.sum()) != 1 << self.bits:
+            raise BadImage("a prefix code that is not complete")
+        flat = np.repeat((n << 16 | used).astype(np.uint32)[order], room[order])
         self.table = flat[_reversed(self.bits)]
 
     @cached_property
@@ -225,21 +226,32 @@ def read_code(bits: Bits, size: int) -> Code:
     lengths: list[int] = []
     last = 8
     data, table, mask = bits.data, code.entries, (1 << code.bits) - 1
+    window = used = 0
+    full = -64
     while len(lengths) < size and left:
         left -= 1
-        at = bits.at
-        e = table[(int.from_bytes(data[at >> 3 : (at >> 3) + 2], "little") >> (at & 7)) & mask]
-        bits.at = at + (e >> 16)
+        if used > full:
+            bits.at += used
+            window = int.from_bytes(data[bits.at >> 3 : (bits.at >> 3) + 128], "little") >> (bits.at & 7)
+            used, full = 0, 960
+        e = table[window & mask]
+        k = e >> 16
         s = e & 0xFFFF
         if s < 16:
             lengths.append(s)
             last = s or last
         elif s == 16:
-            lengths += [last] * (3 + bits.read(2))
+            lengths += [last] * (3 + (window >> k & 3))
+            k += 2
         elif s == 17:
-            lengths += [0] * (3 + bits.read(3))
+            lengths += [0] * (3 + (window >> k & 7))
+            k += 3
         else:
-            lengths += [0] * (11 + bits.read(7))
+            lengths += [0] * (11 + (window >> k & 127))
+            k += 7
+        window >>= k
+        used += k
+    bits.at += used
     if len(lengths) > size or bits.at > bits.size:
         raise BadImage("too many code lengths, or too few bits")
     return Code(lengths + [0] * (size - len(lengths)))
