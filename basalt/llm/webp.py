@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -34,7 +34,7 @@ WIDTH = UNIT // 3
 #: The longest prefix code that the encoder makes; the format allows 15.
 LONGEST = 12
 #: Bytes of texts or images that are worked on at once; some hundred bytes of memory are needed for each.
-SLICE = 2 << 20
+SLICE, LOAD_SLICE = 2 << 20, 3 << 20
 #: The least and most pixels that the encoder copies at once; the format allows 4096.
 LEAST_COPY, MOST_COPY = 3, 4096
 #: Colour caches by an image's pixels (from so many on, bits), and the share of pixels that must hit it.
@@ -849,17 +849,18 @@ def to_media(df: DataFrame, column: str = "text", to: str = "media") -> DataFram
     return df.mapInArrow(run, schema_of(df, f"`{to}` binary"))
 
 
-def from_media(df: DataFrame, column: str = "media", to: str = "pixels") -> DataFrame:
-    """Adds the samples of a column of stored forms, with __ before its name where there is such a column."""
+def from_media(df: DataFrame, column: str = "media", to: str = "pixels", tell: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch] | None = None, schema: str = "") -> DataFrame:
+    """Adds the samples of a column of stored forms, with __ before its name where there is such a column; or gives what tell makes, by
+    this schema, of rows and their samples, which then never leave the task that decodes them."""
     (to,) = free([to], df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sub_batches(batch, column, SLICE):
+            for part in sub_batches(batch, column, LOAD_SLICE):
                 found = load([m or b"" for m in part.column(column).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, to])
+                yield tell(part, found) if tell else pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, to])
 
-    return df.mapInArrow(run, schema_of(df, f"`{to}` binary"))
+    return df.mapInArrow(run, schema if tell else schema_of(df, f"`{to}` binary"))
 
 
 def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -867,15 +868,14 @@ def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), "text")
     held = Scratch(spark, "media").keep(to_media(docs).drop("text"), "media")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            back, media = x.column("pixels").to_pylist(), x.column("media").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    x.column("doc_id"), x.column("n_bytes"), pa.array([len(p) for p in back], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in back], pa.string()),
-                    pa.array([zlib.crc32(p[-32:]) for p in back], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), pa.array([feature(p) for p in back], pa.string()),
-                ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return from_media(held).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    def tell(x: pa.RecordBatch, back: list[bytes]) -> pa.RecordBatch:
+        media = x.column("media").to_pylist()
+        return pa.RecordBatch.from_arrays(
+            [
+                x.column("doc_id"), x.column("n_bytes"), pa.array([len(p) for p in back], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in back], pa.string()),
+                pa.array([zlib.crc32(p[-32:]) for p in back], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), pa.array([feature(p) for p in back], pa.string()),
+            ],
+            names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+        )
+
+    return from_media(held, tell=tell, schema="doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
