@@ -34,7 +34,7 @@ WIDTH = UNIT // 3
 #: The longest prefix code that the encoder makes; the format allows 15.
 LONGEST = 12
 #: Bytes of texts or images that are worked on at once; some hundred bytes of memory are needed for each.
-SLICE, LOAD_SLICE = 2 << 20, 3 << 20
+SLICE, LOAD_SLICE = 2 << 20, 6 << 20
 #: The least and most pixels that the encoder copies at once; the format allows 4096.
 LEAST_COPY, MOST_COPY = 3, 4096
 #: Colour caches by an image's pixels (from so many on, bits), and the share of pixels that must hit it.
