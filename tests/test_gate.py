@@ -123,6 +123,30 @@ def test_single_pass_counts_add_up(spark):
     assert all(whole[c.number] == left[c.number] + right[c.number] for c in CHECKS if c.dataset)
 
 
+def test_counts_are_the_rows_of_each_check(spark):
+    """Counted together or alone, on keys that are null, repeated, unknown, and fees, values and flags that are null or differ."""
+
+    def change(d):
+        add = lambda table, key, **new: d[table].append(dict(golden.row(d, table, txid=key)) | new)
+        for k in range(3):
+            add("transactions", "tx101", fee_sats=k, block_hash=None if k else "other")
+            add("transactions", "tx102", txid=None, transaction_index=k, is_coinbase=k == 1)
+            add("inputs", "tx101", previous_output_value_sats=None if k == 2 else 5, is_coinbase=[True, None, False][k])
+            add("inputs", "tx102", txid=None, input_index=k // 2)
+            add("outputs", "tx102", output_index=None if k else 0, value_sats=None if k else 7)
+            add("outputs", "tx100", txid="nowhere" if k else None, output_index=0)
+            add("transactions", "tx100", txid=f"alone{k}", block_height=101, transaction_index=7)
+        d["blocks"].append(dict(golden.row(d, "blocks", block_height=101)) | {"block_hash": "second"})
+        d["blocks"].append(dict(golden.row(d, "blocks", block_height=102)) | {"block_hash": None})
+        golden.row(d, "blocks", block_height=100)["block_height"] = 99
+
+    for data in (golden.broken(change), golden.tables()):
+        w = golden.ledger(spark, data).window(100, 102)
+        found = {r["check_number"]: r["violations"] for r in gate.counts(w).collect()}
+        assert found == {c.number: c.rows(w).count() for c in CHECKS if c.severity != BOUNDARY}
+    assert "CartesianProduct" not in gate.counts(w)._jdf.queryExecution().toString()
+
+
 def test_reports_guard_loads(tmp_path):
     with pytest.raises(RuntimeError):
         gate.load_report(str(tmp_path), 1, 2)
